@@ -237,3 +237,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80) -> DataFram
     out = members.select("doc_id", "n_shingles", "set_hash").join(by_set, "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
+    """``docs`` (all its columns) with one row of each group of near duplicates: that of the smallest doc_id.
+
+    Rows that share a doc_id stay or go together. Rows without an id or without words stay."""
+    gone = near_duplicates(docs, size, least).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")

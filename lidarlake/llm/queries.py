@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidarlake.llm import near, packing, quality, secrets, token_files, toxicity, urls
+from lidarlake.llm import decontaminate, lines, lm, near, packing, quality, secrets, token_files, toxicity, urls
 from lidarlake.llm.common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,22 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -79,15 +91,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"), size=2, least=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_line_dedup": op2_line_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "op4_decontamination": op4_decontamination,
+        "op5_lm_score": op5_lm_score,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op8_url_filter": op8_url_filter,
         "op9_pack": op9_pack,
         "op10_near_duplicates": op10_near_duplicates,
+        "pipeline": pipeline,
     }
 
 

@@ -227,3 +227,20 @@ def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     g = Grammar.learn(docs, labels, most)
     scores = docs.mapInArrow(partial(_score, arcs=g.arcs, weights=g.weights), "doc_id long, score double")
     return scores.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _clean(batches, arcs, weights, at: int):
+    lexicon = Lexicon(arcs)
+    for batch in batches:
+        keep = []
+        for text in batch.column(at).to_pylist():
+            classes = lexicon.classes(text)
+            z = float(vector(classes) @ weights[:-1] + weights[-1]) if _CORE.search(classes) else float(weights[-1])
+            keep.append(z < 0)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def filter_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """``docs`` (all its columns) without the rows whose text scores 0.5 or more."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(partial(_clean, arcs=grammar.arcs, weights=grammar.weights, at=docs.columns.index("text")), kinds)
