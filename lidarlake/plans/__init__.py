@@ -1,0 +1,3 @@
+from lidarlake.plans import audit
+
+MODULES = (audit,)

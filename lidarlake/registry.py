@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lidarlake.plans import MODULES
 
-def queries():
-    return {}
 
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
