@@ -1,3 +1,3 @@
-from lidarlake.plans import audit
+from lidarlake.plans import audit, mapping
 
-MODULES = (audit,)
+MODULES = (audit, mapping)
