@@ -1,3 +1,3 @@
-from lidarlake.plans import audit, mapping
+from lidarlake.plans import audit, mapping, planner
 
-MODULES = (audit, mapping)
+MODULES = (audit, mapping, planner)

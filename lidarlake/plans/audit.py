@@ -205,4 +205,4 @@ def starvation_counter(spark, sf_dir):
 def width_histogram(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     bad = F.isnan("value") | (F.abs("value") == float("inf"))
-    return e.groupBy(F.length("props").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("nonfinite"))
+    return e.groupBy(F.length("props").cast("long").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("nonfinite"))
