@@ -1,3 +1,3 @@
-from lidarlake.plans import audit, mapping, planner
+from lidarlake.plans import algebra, audit, machines, mapping, planner
 
-MODULES = (audit, mapping, planner)
+MODULES = (audit, mapping, planner, algebra, machines)
