@@ -83,3 +83,10 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = mix(out + h[k : n - size + 1 + k])
     return np.unique(out)
+
+
+def small(batches, rows: int = 512):
+    """Record batches cut to at most ``rows``: bounds what a step holds as Python objects."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import stored
-from lidarlake.llm.tokens import Encoder
+from lidarlake.llm.common import small, stored
+from lidarlake.llm.tokens import encoder as encoder_of
 
 GROUPS = 96
 #: Lengths over capacity / SMALL are large.
@@ -209,26 +209,24 @@ def ranges(runs: list[Run], first: int = 0) -> dict[int, np.ndarray]:
 
 
 def _pieces(batches, tokenizer: str, end: int, capacity: int):
-    encoder, shard, seen = Encoder(tokenizer), TaskContext.get().partitionId(), Counter()
+    encoder, shard, seen = encoder_of(tokenizer), TaskContext.get().partitionId(), Counter()
     tail = np.array([end], "<u4").tobytes()
-    for batch in batches:
-        ids_in, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for k in range(0, len(texts), 512):
-            rows, raw = [], []
-            for doc, text in zip(ids_in[k : k + 512], texts[k : k + 512]):
-                x = encoder(text) + tail
-                n = len(x) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((doc, p, a, b - a, shard, seen[b - a]))
-                    seen[b - a] += 1
-                raw.append(x)
-            cols = list(zip(*rows)) if rows else [()] * 6
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(cols[3], np.int64))]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), ids, pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids", "shard", "place"])
+    for batch in small(batches):
+        rows, raw = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = encoder(text) + tail
+            n = len(x) // 4
+            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                rows.append((doc, p, a, b - a, shard, seen[b - a]))
+                seen[b - a] += 1
+            raw.append(x)
+        cols = list(zip(*rows)) if rows else [()] * 6
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(cols[3], np.int64))]).astype(np.int32))
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), ids, pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())],
+            names=["doc_id", "piece", "start", "length", "ids", "shard", "place"])
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lidarlake.llm.tokens import Encoder
+from lidarlake.llm.common import small
+from lidarlake.llm.tokens import encoder as encoder_of
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 LAYOUT = {
@@ -33,20 +34,18 @@ LAYOUT = {
 
 
 def _encode(batches, tokenizer: str, end: int):
-    encoder, shard, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+    encoder, shard, start = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
     tail = np.array([end], "<u4").tobytes()
-    for batch in batches:
-        docs, texts = batch.column(0), batch.column(1).to_pylist()
-        for k in range(0, len(texts), 512):  # bounds what one batch holds
-            ids = [encoder(t) + tail for t in texts[k : k + 512]]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            starts = start + np.concatenate([[0], np.cumsum(sizes)])
-            start = int(starts[-1])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [docs.slice(k, len(ids)), pa.array(np.full(len(ids), shard, np.int32)), pa.array(starts[:-1]), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+    for batch in small(batches):
+        ids = [encoder(t) + tail for t in batch.column(1).to_pylist()]
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        starts = start + np.concatenate([[0], np.cumsum(sizes)])
+        start = int(starts[-1])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.full(len(ids), shard, np.int32)), pa.array(starts[:-1], pa.int64()), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
+            names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> None:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 
 import numpy as np
-from tokenizers import Tokenizer
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+
+from tokenizers import Tokenizer  # noqa: E402
 
 _TWO_SPACES = re.compile(r"\s\s")
 _AT_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: A space at most, Latin-1 letters (no composition or unusual case can touch them), ASCII punctuation at most.
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level models name bytes by printable characters: those that are printable, then the rest from U+0100 on.
+_BYTE_NAMES = str.maketrans({b: chr(b) for b in _SHOWN} | {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))})
 
 
 class Encoder:
@@ -16,35 +26,74 @@ class Encoder:
 
     A text is cut before each single space that stands between two other characters. No token of the
     tokenizers used here crosses such a place (``word_bpe``: white space is dropped; ``byte_bpe``: a space
-    opens the next token), so ids of the pieces can be kept and joined. ``most`` bounds the memory.
-    Special tokens' strings in a text are ordinary text.
+    opens the next token), so ids of the pieces can be kept and joined. A new piece that is a plain word goes
+    straight to the tokenizer's model; any other takes the tokenizer's whole way. At most 2 * ``most`` pieces are
+    kept: the older half is forgotten, but for what was used since. Special tokens' strings in a text are
+    ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 120_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = json.dumps([parts["normalizer"], parts["pre_tokenizer"]])
+        self.plain = parts["model"]["type"] == "BPE" and "ByteLevel" in kinds
+        self.lower = "Lowercase" in kinds  # such a tokenizer also drops white space
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.most, self.known, self.old = most, {}, {}
 
-    def _plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _part(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_NAMES))]
+
+    def _learn(self, pieces: list[str]) -> None:
+        known, old, hard = self.known, self.old, []
+        if len(known) + len(pieces) > self.most:
+            self.old, self.known = old, known = known, {}
+        for x in pieces:
+            if (ids := old.get(x)) is not None:
+                known[x] = ids
+            elif self.plain and (m := _PLAIN.fullmatch(x)):
+                space, letters, marks = m.groups()
+                ids = self._part(letters.lower() if self.lower else space + letters)
+                if marks:
+                    ids = ids + self._part(marks)
+                known[x] = np.array(ids, self.kind).tobytes()
+            else:
+                hard.append(x)
+        for x, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
+            known[x] = np.array(e.ids, self.kind).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _TWO_SPACES.search(text):
             pieces = _AT_SPACE.split(text)
+        elif self.lower:
+            pieces = text.split(" ")  # a space opens no token
         else:
             first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]] if rest else [first]
+            pieces = [first, *[" " + x for x in rest]]
         known = self.known
         try:
-            return b"".join([known[x] for x in pieces])
+            raw = b"".join([known[x] for x in pieces])
         except KeyError:
-            pass
-        new = list({x for x in pieces if x not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(set(pieces))
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[x] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in pieces])
+            new = list({x for x in pieces if x not in known})
+            self._learn(new)
+            known = self.known
+            try:
+                raw = b"".join([known[x] for x in pieces])
+            except KeyError:  # a generation ended: the text's other words are in the old one
+                old = self.old
+                raw = b"".join([known[x] if x in known else old[x] for x in pieces])
+        return np.frombuffer(raw, self.kind).astype("<u4").tobytes()
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder of a tokenizer: reused Python workers keep what they know from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
