@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import stored, words
+from lidarlake.llm.common import small, stored, words
 
 #: A word with over 1 / HEAVY of all training tokens is broadcast, so at most HEAVY words are.
 HEAVY = 200_000
@@ -159,7 +159,7 @@ def _count(batches, most: int = 500_000):
         c.clear()
         return out
 
-    for batch in batches:
+    for batch in small(batches):
         for text in batch.column(0).to_pylist():
             c.update(words(text))
             c[END] += 1
@@ -172,7 +172,7 @@ def _score(batches, heavy, lattice: Lattice, log_unit: float):
     """A row for each document with what is known here, and one for each of its other words."""
     heavy = {w: (math.log10(c + 0.5) - log_unit) for w, c in heavy.value.items()}
     row = TaskContext.get().partitionId() << 33
-    for batch in batches:
+    for batch in small(batches):
         key, doc, out, word, n, known, base, score, tokens = ([] for _ in range(9))
         for d, held, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             c = Counter(words(text))

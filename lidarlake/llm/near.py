@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import Hashes, mix, shingles, stored, words
+from lidarlake.llm.common import Hashes, mix, shingles, small, stored, words
 from lidarlake.llm.components import components
 
 CHUNKS, SLOTS = 8, 5
@@ -61,7 +61,7 @@ _MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_
 
 def _members(batches, size: int):
     seen = Hashes()
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingles(seen.of(words(text)), size)
@@ -96,7 +96,7 @@ def _within(batches):
 def _confirm(batches, size: int, least: int):
     """Rows sorted by hub, the hub's own row first: pairs with 100 * intersection >= least * union."""
     seen, hub, own = Hashes(), None, None
-    for batch in batches:
+    for batch in small(batches):
         a, b = [], []
         for h, member, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
             s = shingles(seen.of(words(text)), size)
