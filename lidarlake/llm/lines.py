@@ -6,7 +6,8 @@ percent of their tokens generalise to one, the others' places becoming wildcards
 several documents stays in the first of them (smallest doc_id) and its lines are dropped from all others.
 
 Only hashes of lines are shuffled to count templates; token hashes only of leaves with several templates. A leaf is
-parsed in blocks of at most about BLOCK templates, whose generalised templates meet in a second round.
+parsed in blocks of at most about BLOCK templates; the generalised templates of its blocks meet in further
+rounds, until they fit one block or none of them generalise.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import stored
+from lidarlake.llm.common import small, stored
 
 DEPTH, SIMILAR, BLOCK = 3, 80, 2000
 #: Shorter lines (in tokens) are left alone: that they recur says nothing.
@@ -49,7 +50,7 @@ _LINES = "doc_id long, text_key long, line int, leaf long, template long"
 
 
 def _lines(batches, least: int):
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             for k, line in enumerate(text.split("\n")):
@@ -61,7 +62,7 @@ def _lines(batches, least: int):
 def _tokens(batches, least: int):
     """Each template of a batch once, with the hashes of its tokens."""
     known: dict[str, int] = {_WILD: 0}
-    for batch in batches:
+    for batch in small(batches):
         out = {}
         for text in batch.column(0).to_pylist():
             for line in text.split("\n"):
@@ -119,22 +120,28 @@ def _parse(batches, similar: int):
         yield out(rows)
 
 
-def _rounds(rows: DataFrame, sizes: DataFrame, similar: int) -> DataFrame:
-    """(template, head) after two rounds over blocks of leaves."""
+def _rounds(rows: DataFrame, sizes: DataFrame, similar: int, most: int = 8) -> DataFrame:
+    """(template, head). A leaf in one block is done at once; heads of leaves in several meet again until they fit one."""
     schema = "leaf long, template long, head long, tokens binary"
 
     def parse(rows: DataFrame, salt: int) -> DataFrame:
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("template", F.lit(salt)), blocks))
         rows = rows.select("leaf", "block", "template", "tokens").repartition("leaf", "block").sortWithinPartitions("leaf", "block", "template")
-        return rows.mapInArrow(partial(_parse, similar=similar), schema)
-
-    first = stored(parse(rows.join(sizes, "leaf"), 0), "parsed")
-    heads = first.groupBy("leaf", "head").agg(F.first("tokens").alias("tokens")).select("leaf", F.col("head").alias("template"), "tokens")
-    many = heads.groupBy("leaf").agg(F.count("*").alias("n"))
-    split = sizes.where(F.col("n") > BLOCK).select("leaf")
-    second = parse(heads.join(many, "leaf").join(split, "leaf", "left_semi"), 1).select(F.col("template").alias("head"), F.col("head").alias("top")).distinct()
-    return first.join(second, "head", "left").select("template", F.coalesce("top", "head").alias("head"))
+        return stored(rows.mapInArrow(partial(_parse, similar=similar), schema), "parsed")
+
+    parsed = parse(rows.join(sizes, "leaf"), 0)
+    out = parsed.select("template", "head")
+    for k in range(1, most):
+        split = sizes.where(F.col("n") > BLOCK)
+        if split.isEmpty():
+            break
+        heads = parsed.join(split.select("leaf"), "leaf", "left_semi").groupBy("leaf", "head").agg(F.first("tokens").alias("tokens")).select("leaf", F.col("head").alias("template"), "tokens")
+        sizes = stored(heads.groupBy("leaf").agg(F.count("*").alias("n")).join(split.withColumnRenamed("n", "was"), "leaf").where("n < was").select("leaf", "n"), "leaves")
+        parsed = parse(heads.join(sizes, "leaf"), k)
+        tops = parsed.select(F.col("template").alias("head"), F.col("head").alias("top"))
+        out = out.join(tops, "head", "left").select("template", F.coalesce("top", "head").alias("head"))
+    return out
 
 
 def recurring(docs: DataFrame, lines: DataFrame, least: int, similar: int) -> DataFrame:
@@ -153,7 +160,7 @@ def recurring(docs: DataFrame, lines: DataFrame, least: int, similar: int) -> Da
 
 
 def _rewrite(batches, columns: int, at: int):
-    for batch in batches:
+    for batch in small(batches):
         texts = []
         for text, gone in zip(batch.column(at).to_pylist(), batch.column(columns).to_pylist()):
             if gone:
