@@ -1,3 +1,3 @@
-from lidarlake.plans import algebra, audit, machines, mapping, planner
+from lidarlake.plans import algebra, audit, machines, mapping, planner, retrieval
 
-MODULES = (audit, mapping, planner, algebra, machines)
+MODULES = (audit, mapping, planner, retrieval, algebra, machines)
