@@ -32,7 +32,7 @@ MOST_WRONG = 19
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 1000
 #: Of larger buckets the blocks hold texts too, and confirm on full sets what they find; no pairs leave them.
-LARGE = 128
+LARGE = 64
 _MULTIPLY = mix(np.arange(1, CHUNKS * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -110,10 +110,21 @@ def _confirm(batches, size: int, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _across(ids, comp, sig, side, texts, size: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _here(sig: np.ndarray, others: np.ndarray, key: int) -> np.ndarray:
+    """Whether ``key`` is the first key that a signature shares with each of others: one bucket takes a pair, not all."""
+    wrong = (others != sig).reshape(-1, CHUNKS, SLOTS)
+    few = wrong.sum(axis=2) <= 1
+    chunk = few.argmax(axis=1)
+    at = np.arange(len(others))
+    leave = wrong[at, chunk].argmax(axis=1)  # 0 if none is wrong
+    return (keys(sig).reshape(SLOTS, CHUNKS)[leave, chunk] == key) | ~few.any(axis=1)
+
+
+def _across(key, ids, comp, sig, side, texts, size: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different components within MOST_WRONG: of one block (side is None), or one of each side.
 
     Members of the most frequent component never meet each other, so only the rest walk over the block.
+    A pair that shares several buckets is taken in the first of them alone.
     With texts, the pairs are confirmed on full sets."""
     values, counts = np.unique(comp, return_counts=True)
     if len(values) < 2:
@@ -123,21 +134,19 @@ def _across(ids, comp, sig, side, texts, size: int, least: int) -> list[tuple[np
         seen = Hashes()
         sets = [shingles(seen.of(words(x)), size) for x in texts]
         n = np.array([len(x) for x in sets])
-        ends = np.concatenate([[0], np.cumsum(n)])
-        everything = np.concatenate(sets)
     for i in rest:
         near = (comp != comp[i]) & (_wrong(sig, sig[i]) <= MOST_WRONG)
         if side is not None:
             near &= side != side[i]
-        if texts is not None and near.any():
-            # positions in the row's own set; a run of equal members is counted by cumulative sums
-            at = np.minimum(np.searchsorted(sets[i], everything), len(sets[i]) - 1)
-            both = np.concatenate([[0], np.cumsum(sets[i][at] == everything)])
-            both = both[ends[1:]] - both[ends[:-1]]
-            near &= 100 * both >= least * (n + n[i] - both)
-        near = ids[near]
-        if len(near):
-            out.append((np.minimum(near, ids[i]), np.maximum(near, ids[i])))
+        at = np.flatnonzero(near)
+        at = at[_here(sig[i], sig[at], key)] if len(at) else at
+        if texts is not None and len(at):
+            others = np.concatenate([sets[k] for k in at])
+            place = np.minimum(np.searchsorted(sets[i], others), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][place] == others).astype(np.int64), np.concatenate([[0], np.cumsum(n[at])[:-1]]))
+            at = at[100 * both >= least * (n[at] + n[i] - both)]
+        if len(at):
+            out.append((np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])))
     return out
 
 
@@ -154,7 +163,7 @@ def _blocks(batches, size: int, least: int):
         for i, j in zip(cuts, cuts[1:]):
             side = None if cols[1][i] == cols[2][i] else cols[3][i:j]
             texts = t.column(7).slice(i, j - i).to_pylist() if t.num_columns > 7 else None
-            out += _across(cols[4][i:j], cols[5][i:j], sig[i:j], side, texts, size, least)
+            out += _across(cols[0][i], cols[4][i:j], cols[5][i:j], sig[i:j], side, texts, size, least)
         a, b = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in (0, 1))
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
