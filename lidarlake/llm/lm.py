@@ -27,6 +27,8 @@ from lidarlake.llm.common import small, stored, words
 #: A word with over 1 / HEAVY of all training tokens is broadcast, so at most HEAVY words are.
 HEAVY = 200_000
 LONGEST = 16
+#: Exponent of the distribution by rank that the first expectations start from.
+ZIPF = 0.5
 #: A document's end is a token; no word can be spelled like this.
 END = b"\n"
 
@@ -43,43 +45,49 @@ class Lattice:
 
     MARK = "▁"
 
-    def __init__(self, probs: dict[str, float], byte: float, most: int = 300_000):
+    def __init__(self, probs: dict[str, float], byte: float, most: int = 200_000):
         self.probs, self.byte, self.most = probs, byte, most
         self.known: dict[bytes, float] = {}
+        #: piece or beginning of one -> probability (0: only a beginning); a walk ends where this ends
+        self.starts = {p[:k]: 0.0 for p in probs for k in range(1, len(p))} | probs
+
+    def __reduce__(self):
+        return Lattice, (self.probs, self.byte, self.most)
 
     @classmethod
     def from_model(cls, path: str) -> Lattice:
-        """Pieces of a sentencepiece model by rank of score: a Zipf distribution, before any counts."""
+        """Pieces of a sentencepiece model by rank of score: a flat Zipf distribution, before any counts."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         pieces.sort(key=lambda i: (-sp.get_score(i), i))
-        w = {sp.id_to_piece(i): 1.0 / (k + 10) for k, i in enumerate(pieces)}
+        w = {sp.id_to_piece(i): (k + 10.0) ** -ZIPF for k, i in enumerate(pieces)}
+        w = {p: x for p, x in w.items() if len(p) <= LONGEST}
         total = sum(w.values())
-        probs = {p: 0.98 * x / total for p, x in w.items() if len(p) <= LONGEST}
-        return cls(probs, 0.01 / 256)
-
-    def _text(self, word: bytes) -> str:
-        return self.MARK + word.decode("utf-8", "surrogatepass")
-
-    def _forward(self, w: str) -> tuple[list[float], list[float]]:
-        """Scaled forward sums; log scale at each place."""
-        probs, byte = self.probs.get, self.byte
-        f, scale = [1.0], [0.0]
-        for i in range(1, len(w) + 1):
-            base, total = scale[-1], 0.0
-            for j in range(max(0, i - LONGEST), i):
-                p = probs(w[j:i])
-                if p is not None:
-                    total += f[j] * p * (1.0 if scale[j] == base else math.exp(scale[j] - base))
-            spelled = byte ** len(w[i - 1].encode("utf-8", "surrogatepass"))
-            total += f[i - 1] * spelled
-            if total < 1e-100:
-                base, total = base + math.log(total), 1.0
-            f.append(total)
-            scale.append(base)
-        return f, scale
+        return cls({p: 0.98 * x / total for p, x in w.items()}, 0.01 / 256)
+
+    def _spelled(self, c: str) -> float:
+        return self.byte if c < "\x80" else self.byte ** len(c.encode("utf-8", "surrogatepass"))
+
+    def _log(self, w: str) -> float:
+        """Natural log of the sum over all segmentations; rescaled where the sums get small."""
+        n, starts, scale = len(w), self.starts.get, 0.0
+        f = [1.0] + [0.0] * n
+        for j in range(n):
+            x = f[j]
+            if x < 1e-150:
+                for k in range(j, min(n, j + LONGEST) + 1):
+                    f[k] /= x
+                scale, x = scale + math.log(x), 1.0
+            f[j + 1] += x * self._spelled(w[j])
+            for i in range(j + 1, n + 1):
+                p = starts(w[j:i])
+                if p is None:
+                    break
+                if p:
+                    f[i] += x * p
+        return math.log(f[n]) + scale
 
     def log10(self, word: bytes) -> float:
         if word == END:
@@ -88,45 +96,41 @@ class Lattice:
         if got is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            f, scale = self._forward(self._text(word))
-            got = self.known[word] = (math.log(f[-1]) + scale[-1]) / math.log(10)
+            got = self.known[word] = self._log(self.MARK + word.decode("utf-8", "surrogatepass")) / math.log(10)
         return got
 
     def expect(self, word: bytes, count: float, into: dict[str, float]) -> None:
         """Add ``count`` times the expected number of each piece over all segmentations of a word."""
-        w = self._text(word)
-        n = len(w)
-        if n > 64:  # of a very long word: pieces of its parts, each summed on its own
-            for k in range(0, n, 64):
-                self._expect(w[k : k + 64], count, into)
-        else:
-            self._expect(w, count, into)
+        w = self.MARK + word.decode("utf-8", "surrogatepass")
+        for k in range(0, len(w), 64):  # the parts of a very long word are summed one by one
+            self._expect(w[k : k + 64], count, into)
 
     def _expect(self, w: str, count: float, into: dict[str, float]) -> None:
-        n, probs, byte = len(w), self.probs.get, self.byte
+        n, starts = len(w), self.starts.get
         f, arcs = [1.0] + [0.0] * n, []
-        for i in range(1, n + 1):
-            total = f[i - 1] * byte ** len(w[i - 1].encode("utf-8", "surrogatepass"))
-            for j in range(max(0, i - LONGEST), i):
-                p = probs(w[j:i])
-                if p is not None and f[j]:
+        for j in range(n):
+            x = f[j]
+            f[j + 1] += x * self._spelled(w[j])
+            for i in range(j + 1, n + 1):
+                p = starts(w[j:i])
+                if p is None:
+                    break
+                if p:
+                    f[i] += x * p
                     arcs.append((j, i, p))
-                    total += f[j] * p
-            f[i] = total
         if f[n] < 1e-290:
             return
-        b = [0.0] * n + [count / f[n]]
-        at = len(arcs) - 1
-        for i in range(n, 0, -1):
-            back = b[i]
-            while at >= 0 and arcs[at][1] == i:
-                j, _, p = arcs[at]
+        b, at = [0.0] * n + [count / f[n]], len(arcs) - 1
+        for j in range(n - 1, -1, -1):
+            back = b[j + 1] * self._spelled(w[j])
+            while at >= 0 and arcs[at][0] == j:
+                _, i, p = arcs[at]
                 at -= 1
-                x = p * back
-                b[j] += x
+                x = p * b[i]
+                back += x
                 piece = w[j:i]
                 into[piece] = into.get(piece, 0.0) + f[j] * x
-            b[i - 1] += back * byte ** len(w[i - 1].encode("utf-8", "surrogatepass"))
+            b[j] = back
 
 
 def _expected(batches, start: Lattice):
