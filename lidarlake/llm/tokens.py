@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -21,6 +22,9 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_NAMES = str.maketrans({b: chr(b) for b in _SHOWN} | {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))})
 
 
+_SPACE_NAME = " ".translate(_BYTE_NAMES)
+
+
 class Encoder:
     """text -> ids as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode`` without special tokens.
 
@@ -32,7 +36,7 @@ class Encoder:
     ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 180_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -40,11 +44,16 @@ class Encoder:
         kinds = json.dumps([parts["normalizer"], parts["pre_tokenizer"]])
         self.plain = parts["model"]["type"] == "BPE" and "ByteLevel" in kinds
         self.lower = "Lowercase" in kinds  # such a tokenizer also drops white space
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("u4", "I")
         self.most, self.known, self.old = most, {}, {}
 
-    def _part(self, part: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_NAMES))]
+    def _part(self, space: str, part: str) -> bytes:
+        """Ids of a run of letters or of marks, with the space before it, if the tokenizer keeps that."""
+        if self.lower:
+            space, part = "", part.lower()
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array(self.code, [t.id for t in self.model.tokenize(_SPACE_NAME + part if space else part)]).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         known, old, hard = self.known, self.old, []
@@ -55,14 +64,16 @@ class Encoder:
                 known[x] = ids
             elif self.plain and (m := _PLAIN.fullmatch(x)):
                 space, letters, marks = m.groups()
-                ids = self._part(letters.lower() if self.lower else space + letters)
-                if marks:
-                    ids = ids + self._part(marks)
-                known[x] = np.array(ids, self.kind).tobytes()
+                if marks:  # the bare word may be known
+                    bare = x[: -len(marks)]
+                    ids = known.get(bare) or old.get(bare) or self._part(space, letters)
+                    known[x] = ids + self._part("", marks)
+                else:
+                    known[x] = self._part(space, letters)
             else:
                 hard.append(x)
         for x, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
-            known[x] = np.array(e.ids, self.kind).tobytes()
+            known[x] = array(self.code, e.ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
