@@ -26,17 +26,18 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(df: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, place, seed): both masks at each place of ``words`` where a whole span fits."""
-    n = F.size("words") - SPAN + 1
-    used = sorted({k for m in MASKS for k in m})
-    span = F.arrays_zip(*[F.slice("words", k + 1, n).alias(f"w{k}") for k in used])
-    rows = df.where(F.size("words") >= SPAN).select(*keep, span.alias("span"))
-    rows = rows.select(*keep, F.posexplode("span").alias("place", "w"))
-    names = rows.schema["w"].dataType.names
-    took = {k: F.col("w")[name] for k, name in zip(used, names)}
-    each = F.array(*[F.xxhash64(F.lit(i), *[took[k] for k in m]) for i, m in enumerate(MASKS)])
-    return rows.select(*keep, "place", F.explode(each).alias("seed"))
+def seeds(df: DataFrame, mask: int, *keep: str) -> DataFrame:
+    """(*keep, place, seed): one mask at each place of ``words`` where a whole span fits.
+
+    Words are hashed first, so that what is generated has five numbers a row; a text that is too short has
+    slices of length 0. No filter on the size: it would be pushed below and split each text twice.
+    """
+    hashed = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    n = F.greatest(F.size("words") - (SPAN - 1), F.lit(0))
+    span = F.arrays_zip(*[F.slice("words", k + 1, n).alias(f"w{k}") for k in MASKS[mask]])
+    rows = hashed.select(*keep, F.posexplode(span).alias("place", "w"))
+    fields = [F.col("w")[name] for name in rows.schema["w"].dataType.names]
+    return rows.select(*keep, "place", F.xxhash64(F.lit(mask), *fields).alias("seed"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -51,12 +52,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     items = items.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") >= SPAN)
     items = items.select("item_id", "words", F.xxhash64("words").alias("item_key")).dropDuplicates(["item_id", "item_key"])
-    wanted = seeds(items, "item_id", "item_key").withColumnRenamed("place", "item_place")
-    if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        wanted = F.broadcast(wanted)
-    found = seeds(docs.select("doc_id", tokens(F.col("text")).alias("words")), "doc_id").join(wanted, "seed")
-    found = found.select("doc_id", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    found = stored(found, "alignments")
+    split, found = docs.select("doc_id", tokens(F.col("text")).alias("words")), None
+    for mask in range(len(MASKS)):
+        wanted = seeds(items, mask, "item_id", "item_key").withColumnRenamed("place", "item_place")
+        if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+            wanted = F.broadcast(wanted)
+        hits = seeds(split, mask, "doc_id").join(wanted, "seed").select("doc_id", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("shift"))
+        found = hits if found is None else found.unionByName(hits)
+    found = stored(found.distinct(), "alignments")
     aligned = F.broadcast(found) if found.limit(BROADCAST_ALIGNMENTS + 1).count() <= BROADCAST_ALIGNMENTS else found
     both = docs.join(aligned, "doc_id").withColumn("words", tokens(F.col("text"))).drop("text")
     both = both.join(items.withColumnRenamed("words", "item_words"), ["item_id", "item_key"])
