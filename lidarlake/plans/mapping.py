@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -227,15 +229,29 @@ def jet_colours(spark, sf_dir):
     return points(spark, sf_dir).select("idx", r.alias("red"), g.alias("green"), b.alias("blue"))
 
 
-def patch_pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "embeddings").select(_C("label").alias("point_id"), _C("vec_id").alias("obs"), F.transform("embedding", lambda v: v.cast("double")).alias("patch"))
-    p = p.withColumn("k", F.row_number().over(Window.partitionBy("point_id").orderBy("obs"))).where("k <= 8").drop("k")
-    q = p.select("point_id", _C("obs").alias("obs2"), _C("patch").alias("patch2"))
-    return p.join(q, "point_id")
+#: Observations of a block: two blocks of a point meet in one task.
+PATCH_BLOCK, PATCH_SIZE = 1000, 64
 
 
-def total(a):
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+def patches(spark, sf_dir):
+    p = table(spark, sf_dir, "embeddings").select(_C("label").alias("point_id"), _C("vec_id").alias("obs"), _C("embedding").alias("patch"))
+    return p.where("point_id is not null and obs is not null and patch is not null")
+
+
+def _ncc(t: pa.Table) -> pa.Table:
+    """All pairs of two blocks (or inside one) of a point's observations, each once, the smaller obs first."""
+    obs, block = t["obs"].to_numpy(), t["block"].to_numpy()
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    d = np.array(t["patch"].to_pylist(), np.float64)
+    d -= d.mean(axis=1, keepdims=True)
+    s = (d * d).sum(axis=1)
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    x, y = np.nonzero(obs[a][:, None] < obs[b] if i == j else obs[a][:, None] != obs[b])
+    ncc = (d[a] @ d[b].T)[x, y]
+    x, y = a[x], b[y]
+    ncc = np.round(ncc / (np.sqrt(s[x] * s[y]) + 1e-10), 6) + 0.0
+    point = pa.array(np.full(len(x), t["point_id"][0].as_py(), np.int32))
+    return pa.table({"point_id": point, "obs": np.minimum(obs[x], obs[y]), "obs2": np.maximum(obs[x], obs[y]), "ncc": ncc})
 
 
 _PATCH = "p AS (SELECT label AS point_id, vec_id AS obs, embedding::DOUBLE[] AS e FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 8)"
@@ -245,20 +261,34 @@ _PATCH = "p AS (SELECT label AS point_id, vec_id AS obs, embedding::DOUBLE[] AS
   SELECT a.point_id, a.obs, b.obs AS obs2, round(list_sum(list_transform(range(1, 65), lambda i: a.d[i] * b.d[i])) / (sqrt(list_sum(list_transform(a.d, lambda v: v * v)) * list_sum(list_transform(b.d, lambda v: v * v))) + 1e-10), 6) AS ncc
   FROM c a JOIN c b ON a.point_id = b.point_id AND a.obs < b.obs""")
 def patch_ncc_pairs(spark, sf_dir):
-    """Normalised cross correlation of a point's observations (at most eight are kept for a point)."""
-    c = lambda p: F.transform(p, lambda v: v - total(_C(p)) / F.size(p))
-    d = patch_pairs(spark, sf_dir).where("obs < obs2").withColumns({"c1": c("patch"), "c2": c("patch2")})
-    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
-    return d.select("point_id", "obs", "obs2", r6(dot("c1", "c2") / (F.sqrt(dot("c1", "c1") * dot("c2", "c2")) + 1e-10), "ncc"))
+    """Normalised cross correlation of all of a point's observations, two by two.
+
+    Quadratic in a point's observations, as its result is; a point's blocks meet two by two, so no task has more than two."""
+    p = patches(spark, sf_dir)
+    blocks = p.groupBy("point_id").agg(F.ceil(F.count("*") / PATCH_BLOCK).cast("long").alias("blocks"))
+    p = p.join(blocks, "point_id").withColumn("block", F.pmod(F.xxhash64("obs"), _C("blocks")))
+    p = p.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), _C("blocks") - 1)))
+    p = p.select("point_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "obs", "patch")
+    return p.groupBy("point_id", "i", "j").applyInArrow(_ncc, "point_id int, obs long, obs2 long, ncc double")
 
 
 @query(f"""WITH {_PATCH}, s AS (SELECT a.point_id, a.obs, avg(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) AS ssd FROM p a JOIN p b ON a.point_id = b.point_id AND a.obs <> b.obs GROUP BY ALL)
   SELECT point_id, arg_min(obs, {{'s': round(ssd, 9), 'o': obs}}) AS best, round(min(ssd), 6) AS ssd FROM s GROUP BY point_id""")
 def patch_ssd_best_ref(spark, sf_dir):
-    """The observation with the least mean squared difference to the point's others."""
-    d = patch_pairs(spark, sf_dir).where("obs <> obs2")
-    s = d.select("point_id", "obs", total(F.zip_with("patch", "patch2", lambda a, b: (a - b) * (a - b))).alias("ssd")).groupBy("point_id", "obs").agg(F.avg("ssd").alias("ssd"))
-    return s.groupBy("point_id").agg(F.min_by("obs", F.struct(F.round("ssd", 9), "obs")).alias("best"), r6(F.min("ssd"), "ssd"))
+    """The observation with the least mean squared difference to all of the point's others.
+
+    From sums over the point (count, patches, squares): no pairs. A patch differs by (n - m) q - 2 s (S - s) + m (Q - q)."""
+    e = [_C("patch")[k].cast("double") for k in range(PATCH_SIZE)]
+    sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(e)]
+    o = patches(spark, sf_dir).groupBy("point_id", "obs").agg(F.count("*").alias("m"), F.sum(reduce(lambda a, x: a + x * x, e, F.lit(0.0))).alias("q"), *sums)
+    o = o.select("point_id", "obs", "m", "q", F.array(*[f"s{k}" for k in range(PATCH_SIZE)]).alias("s"))
+    everything = o.groupBy("point_id").agg(F.sum("m").alias("n"), F.sum("q").alias("all_q"), *[F.sum(_C("s")[k]).alias(f"s{k}") for k in range(PATCH_SIZE)])
+    everything = everything.select("point_id", "n", "all_q", F.array(*[f"s{k}" for k in range(PATCH_SIZE)]).alias("all_s"))
+    both = o.join(everything, "point_id").where("n > m")
+    cross = F.aggregate(F.zip_with("s", "all_s", lambda a, b: a * (b - a)), F.lit(0.0), lambda s, v: s + v)
+    ssd = ((_C("n") - _C("m")) * _C("q") - 2 * cross + _C("m") * (_C("all_q") - _C("q"))) / (_C("m") * (_C("n") - _C("m")))
+    both = both.select("point_id", "obs", ssd.alias("ssd"))
+    return both.groupBy("point_id").agg(F.min_by("obs", F.struct(F.round("ssd", 9), "obs")).alias("best"), r6(F.min("ssd"), "ssd"))
 
 
 @query(f"""WITH {POINTS} SELECT idx, {', '.join(f'round({e}, 6) + 0.0 AS w{a}' for a, e in (('x', 'x * cos(0.3) - y * sin(0.3) + 0.18'), ('y', 'x * sin(0.3) + y * cos(0.3) - 0.06'), ('z', 'z + 0.04')))} FROM points""")
