@@ -34,8 +34,8 @@ _C = F.col
   c AS (SELECT idx, k, CAST(floor(x / d * (0.1 + 0.2 * k) / 2.0) AS BIGINT) AS vx, CAST(floor(y / d * (0.1 + 0.2 * k) / 2.0) AS BIGINT) AS vy, CAST(floor(z / d * (0.1 + 0.2 * k) / 2.0) AS BIGINT) AS vz FROM s)
   SELECT idx, CAST(min(k) AS INTEGER) AS step FROM c JOIN st ON c.vx = st.vx AND c.vy = st.vy AND c.vz = st.vz WHERE state = 'OCCUPIED' GROUP BY idx""")
 def raycast_first_hit(spark, sf_dir):
-    """The first occupied voxel along each ray of 30 samples; samples meet voxels by equi-join."""
-    p = points(spark, sf_dir).where("idx % 5 = 0").withColumn("d", S.norm(_C("x"), _C("y"), _C("z"))).where("d > 1e-6")
+    """The first occupied voxel along the ray of each point, 30 samples a ray; samples meet voxels by equi-join."""
+    p = points(spark, sf_dir).withColumn("d", S.norm(_C("x"), _C("y"), _C("z"))).where("d > 1e-6")
     s = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29))))
     s = s.select("idx", "k", *[F.floor(_C(a) / _C("d") * (0.1 + 0.2 * _C("k")) / SIZE).alias(f"v{a}") for a in "xyz"])
     occupied = voxel_states(evidence(spark, sf_dir), NOW).where("state = 'OCCUPIED'").select("vx", "vy", "vz")

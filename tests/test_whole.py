@@ -40,3 +40,8 @@ def test_all_observations_are_paired(spark, monkeypatch, block):
 def test_best_reference_among_all_observations(spark):
     got, want = whole(spark, "patch_ssd_best_ref", " WHERE k <= 8")
     assert got == want and got
+
+
+def test_every_point_has_its_ray(spark):
+    got, want = whole(spark, "raycast_first_hit", " WHERE idx % 5 = 0")
+    assert got == want and any(int(r[0]) % 5 for r in got)
