@@ -45,3 +45,8 @@ def test_best_reference_among_all_observations(spark):
 def test_every_point_has_its_ray(spark):
     got, want = whole(spark, "raycast_first_hit", " WHERE idx % 5 = 0")
     assert got == want and any(int(r[0]) % 5 for r in got)
+
+
+def test_key_sets_of_whole_tables(spark):
+    got, want = whole(spark, "keyset_diff", " WHERE c_custkey < 30", " WHERE s_suppkey < 15")
+    assert got == want and got
