@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 from lidarlake.llm.common import small, stored
 
 DEPTH, SIMILAR, BLOCK = 3, 80, 2000
-#: Shorter lines (in tokens) are left alone: that they recur says nothing.
+#: Shorter lines (in tokens) have no template: only equal ones count, and in MANY documents, for that they recur in a few says nothing.
 LEAST_TOKENS = 6
+#: Shorter still (in tokens), lines are left alone: brackets, headings of a word or two.
+LEAST_SHORT, MANY = 3, 5
 #: Hashes of leaves (8 bytes each) that may be broadcast.
 BROADCAST_LEAVES = 1_000_000
 _WILD = "<*>"
 _VARIES = re.compile(r"\d|://|@").search
+#: Scripts without blanks between words (Thai to Burmese, Khmer, kana, Han): two characters count as one token.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]").findall
 
 
 def template(line: str) -> list[str]:
@@ -46,7 +50,13 @@ def leaf(tokens: list[str]) -> int:
     return _hash([str(len(tokens)), *tokens[:DEPTH]])
 
 
-_LINES = "doc_id long, text_key long, line int, leaf long, template long"
+def needed(line: str, tokens: int, least: int) -> int:
+    """Documents in which a line without a template must recur to be dropped; 0 if it never is."""
+    n = tokens if line.isascii() else max(tokens, len(_UNSPACED(line)) // 2)
+    return 2 if n >= least else MANY if n >= LEAST_SHORT else 0
+
+
+_LINES = "doc_id long, text_key long, line int, leaf long, template long, needs int"
 
 
 def _lines(batches, least: int):
@@ -55,8 +65,10 @@ def _lines(batches, least: int):
         for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             for k, line in enumerate(text.split("\n")):
                 if len(line) >= 2 * least - 1 and len(t := template(line)) >= least:
-                    out.append((doc, key, k, leaf(t), _hash(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "text_key", "line", "leaf", "template"])
+                    out.append((doc, key, k, leaf(t), _hash(t), None))
+                elif len(line) >= 2 * LEAST_SHORT - 1 and (n := needed(line, len(t := line.split()), least)):
+                    out.append((doc, key, k, None, _hash(["\x1e", *t]), n))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "text_key", "line", "leaf", "template", "needs"])
 
 
 def _tokens(batches, least: int):
@@ -159,6 +171,12 @@ def recurring(docs: DataFrame, lines: DataFrame, least: int, similar: int) -> Da
     return counts.join(tops.select("head", F.col("low").alias("stays")), "head").select("template", "stays")
 
 
+def recurring_short(lines: DataFrame) -> DataFrame:
+    """(template, stays): lines without a template that recur, word for word, in as many documents as they need."""
+    counts = lines.groupBy("template", "needs").agg(F.min("doc_id").alias("stays"), F.count_distinct("doc_id").alias("n"))
+    return counts.where("n >= needs").select("template", "stays")
+
+
 def _rewrite(batches, columns: int, at: int):
     for batch in small(batches):
         texts = []
@@ -177,7 +195,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_TOKENS, similar: int = SIMIL
     """``docs`` (all its columns, rows kept) with recurring lines taken out of ``text``, and n_dropped, how many.
 
     A line of ``least`` tokens or more whose template occurs in several documents stays only in the one with
-    the smallest doc_id; repeats within one document stay. Null and empty texts, and rows with a null doc_id, are left alone
+    the smallest doc_id, and so does a line of LEAST_SHORT tokens or more that is found word for word in MANY. In scripts
+    without blanks two characters count as a token, and only equal lines are found; repeats within one document stay. Null and empty texts, and rows with a null doc_id, are left alone
     and do not count. Rows with the same doc_id are one document. A column ``n_dropped`` of the input is replaced. An empty
     table gives no rows.
     """
@@ -185,7 +204,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_TOKENS, similar: int = SIMIL
     used = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     used = used.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     lines = stored(used.mapInArrow(partial(_lines, least=least), _LINES), "lines")
-    gone = lines.join(recurring(used, lines, least, similar), "template").where("doc_id != stays")
+    long, short = lines.where("needs is null"), lines.where("needs is not null")
+    gone = lines.join(recurring(used, long, least, similar).unionByName(recurring_short(short)), "template").where("doc_id != stays")
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.collect_set("line").alias("_gone_lines"))
     names = docs.columns
     out = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_key")), "left").select(*names, "_gone_lines")
