@@ -17,6 +17,8 @@ from lidarlake.llm.common import stored
 #: Places that a seed takes (fixed values): both have weight 5 and span 8; what one ignores the other takes.
 MASKS = ((0, 1, 2, 4, 7), (0, 3, 5, 6, 7))
 SPAN = 8
+#: For short items, by number of tokens: with these, every alignment that agrees in 80 percent of places shares a seed.
+SHORT_MASKS = {(0, 1, 2, 5): range(8, 20), (0, 1, 2, 3): (4,), (0, 1, 2): (3, 6, 7), (0, 1): (2, 5), (0,): (1,)}
 WINDOW, LEAST = 20, 80
 #: Rows of 16 to 60 bytes that may be broadcast; beyond, joins shuffle.
 BROADCAST_SEEDS, BROADCAST_ALIGNMENTS = 1_000_000, 200_000
@@ -26,36 +28,40 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(df: DataFrame, mask: int, *keep: str) -> DataFrame:
+def seeds(df: DataFrame, mask: tuple[int, ...], *keep: str) -> DataFrame:
     """(*keep, place, seed): one mask at each place of ``words`` where a whole span fits.
 
     Words are hashed first, so that what is generated has five numbers a row; a text that is too short has
     slices of length 0. No filter on the size: it would be pushed below and split each text twice.
     """
     hashed = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    n = F.greatest(F.size("words") - (SPAN - 1), F.lit(0))
-    span = F.arrays_zip(*[F.slice("words", k + 1, n).alias(f"w{k}") for k in MASKS[mask]])
+    n = F.greatest(F.size("words") - mask[-1], F.lit(0))
+    span = F.arrays_zip(*[F.slice("words", k + 1, n).alias(f"w{k}") for k in mask])
     rows = hashed.select(*keep, F.posexplode(span).alias("place", "w"))
     fields = [F.col("w")[name] for name in rows.schema["w"].dataType.names]
-    return rows.select(*keep, "place", F.xxhash64(F.lit(mask), *fields).alias("seed"))
+    return rows.select(*keep, "place", F.xxhash64(F.lit(str(mask)), *fields).alias("seed"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, matched, window, overlap): what items leak into ``docs(doc_id, text)``, and how much.
 
     ``benchmark(item_id, text)``. A row for each document and item with at least ``least`` percent of some window of
-    the item's tokens in place; the best window counts. Texts that are null or have fewer than SPAN tokens
-    have no seeds and leak nothing; null ids are not tested. Rows with the same doc_id (or item_id) are one document
+    the item's tokens in place; the best window counts. Items that are null or without tokens have no seeds
+    and do not leak; null ids are not tested. Rows with the same doc_id (or item_id) are one document
     with several texts. Other columns are ignored; an empty table on either side gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    items = items.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") >= SPAN)
+    items = items.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = items.select("item_id", "words", F.xxhash64("words").alias("item_key")).dropDuplicates(["item_id", "item_key"])
     split, found = docs.select("doc_id", tokens(F.col("text")).alias("words")), None
-    for mask in range(len(MASKS)):
-        wanted = seeds(items, mask, "item_id", "item_key").withColumnRenamed("place", "item_place")
-        if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+    for mask in (*MASKS, *SHORT_MASKS):
+        fit = F.size("words").isin(*SHORT_MASKS[mask]) if mask in SHORT_MASKS else F.size("words") >= SPAN
+        wanted = seeds(items.where(fit), mask, "item_id", "item_key").withColumnRenamed("place", "item_place")
+        n = wanted.limit(BROADCAST_SEEDS + 1).count()
+        if not n and mask in SHORT_MASKS:
+            continue
+        if n <= BROADCAST_SEEDS:
             wanted = F.broadcast(wanted)
         hits = seeds(split, mask, "doc_id").join(wanted, "seed").select("doc_id", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("shift"))
         found = hits if found is None else found.unionByName(hits)
