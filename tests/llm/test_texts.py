@@ -3,6 +3,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from lidarlake.llm import decontaminate, lines, lm, quality, secrets, toxicity, urls
@@ -213,14 +214,44 @@ def test_quality_keeps_clean_documents(spark, corpus):
 # ---- toxicity ------------------------------------------------------------------------------------------
 
 
-def test_clauses_are_scored_not_words():
-    lex = toxicity.Lexicon({"idiot": 7.0, "moro*": 5.0})
-    plain, negated, told = (toxicity.match(lex.classes(t)) for t in ("He is an idiot.", "He is not an idiot.", "She said he is an idiot."))
-    w = toxicity.FEATURES.index("weight")
-    assert plain[w] > told[w] > 0 and plain[w] > negated[w] > 0
-    assert toxicity.match(lex.classes("I will kill you"))[toxicity.FEATURES.index("threats")] == 1
-    assert toxicity.match(lex.classes("kill the process")) == [0.0] * len(toxicity.FEATURES)
-    assert toxicity.match(lex.classes("what moronic talk"))[0] == 1 and toxicity.match(lex.classes("")) == [0.0] * len(toxicity.FEATURES)
+def naive_clause(clause, factors):
+    """Weight of a clause by looking around each core, without machines."""
+    total = 0.0
+    for k, x in enumerate(clause):
+        if x in "ABCDEt":
+            targeted = "y" in clause[max(0, k - 4) : k] + clause[k + 1 : k + 5]
+            w = 1.0 + "ABCDE".index(x) if x != "t" else factors["t"] * targeted
+            w *= factors["n"] if "n" in clause[max(0, k - 3) : k] else 1
+            w *= factors["r"] if "r" in clause[:k] else 1
+            total += w * (factors["y"] if targeted and x != "t" else 1)
+    return total
+
+
+def test_composed_grammar_equals_looking_around():
+    r = random.Random(8)
+    for factors in (toxicity.FACTORS, {"n": 0.5, "r": 0.7, "y": 1.25, "t": 4.0}):
+        machine = toxicity.Machine(factors)
+        for _ in range(3000):
+            clause = "".join(r.choice("wwwwwwnyrAEt") for _ in range(r.randint(1, 14)))
+            assert machine.clause(clause)[0] == pytest.approx(naive_clause(clause, factors)), clause
+
+
+def test_context_changes_the_score():
+    arcs = {"idiot": 7.0, "moro*": 5.0}
+    said = ["He is an idiot.", "He is not an idiot.", "She said he is an idiot.", "An idiot wrote.", "I will kill you", "kill the process", ""]
+    for factors in (toxicity.FACTORS, {"n": 0.5, "r": 0.7, "y": 1.25, "t": 1.0}):  # at first, and the weakest that learning may choose
+        plain, negated, told, bare, threat, process, empty = map(toxicity.Judge(arcs, factors, np.array([2.0, 2.0, -5.0])), said)
+        assert plain > told and plain > negated and plain > bare > empty and threat > process == empty
+    assert toxicity.Machine(toxicity.FACTORS).match(toxicity.Lexicon(arcs).classes("what moronic talk"))[1] == ["C"]
+
+
+def test_learned_factors_and_weights():
+    """Negated cores in clean documents, targeted ones in toxic ones: the factors go as far as they may."""
+    cores = [["Cy"], ["Cy", "C"], ["Dy"]] * 20 + [["Cn"], ["Cny"], []] * 40
+    y = np.array([1] * 60 + [0] * 120)
+    g = toxicity.Grammar.fit({}, y, np.full(180, 50.0), cores, {0: 120, 1: 60})
+    assert g.factors["n"] == 0.0 and g.factors["y"] >= 1.25 and (g.weights[:-1] >= 0).all() and g.weights[:-1].any()
+    assert toxicity.Grammar.fit({}, y[:60], np.full(60, 50.0), cores[:60], {1: 60}).factors == toxicity.FACTORS
 
 
 def test_toxicity_held_out(spark):
@@ -228,7 +259,7 @@ def test_toxicity_held_out(spark):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     rows = [r for r in toxicity.score(docs, labels).collect() if r.doc_id in truth and r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    assert sum(r.predicted == truth[r.doc_id] for r in rows) >= 0.95 * len(rows)
+    assert sum(r.predicted == truth[r.doc_id] for r in rows) >= 0.97 * len(rows)
 
 
 def test_toxicity_of_awkward_and_empty_tables(spark, awkward, empty):
