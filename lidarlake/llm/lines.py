@@ -2,12 +2,14 @@
 
 A line's fields that vary (tokens with digits, addresses) become wildcards; what is left is its template. The
 tree has a fixed depth: token count, then the first DEPTH tokens. In a leaf, templates that agree in SIMILAR
-percent of their tokens generalise to one, the others' places becoming wildcards. A template that occurs in
-several documents stays in the first of them (smallest doc_id) and its lines are dropped from all others.
-
-Only hashes of lines are shuffled to count templates; token hashes only of leaves with several templates. A leaf is
-parsed in blocks of at most about BLOCK templates; the generalised templates of its blocks meet in further
-rounds, until they fit one block or none of them generalise.
+percent of their places are linked, and what links connect generalises to one template, the places in which they differ
+being wildcards. A template that occurs in several documents stays in the first of them (smallest doc_id) and its lines
+are dropped from all others.
+
+Only hashes of lines are shuffled to count templates; token hashes only of leaves with several templates. A leaf of at
+most BLOCK templates is compared in one task. In a larger one, templates are compared where they share one of the parts
+into which their places are split, one part more than may differ, so that no pair is missed; a part that very many
+share is compared block by block. No result depends on block or order.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lidarlake.llm.common import small, stored
+from lidarlake.llm.components import components
 
 DEPTH, SIMILAR, BLOCK = 3, 80, 2000
 #: Shorter lines (in tokens) have no template: only equal ones count, and in MANY documents, for that they recur in a few says nothing.
@@ -89,71 +92,116 @@ def _tokens(batches, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary())], names=["template", "leaf", "tokens"])
 
 
-def group(rows: list[tuple[int, bytes]], similar: int) -> list[tuple[int, int, bytes]]:
-    """(template, its group, the group's tokens) of one leaf's rows in order: each joins the group that it resembles most."""
-    size = len(rows[0][1]) // 4
-    heads, groups = np.zeros((len(rows), size), np.int32), []
-    ids, member = [], []
-    for h, raw in rows:
-        t = np.frombuffer(raw, np.int32)
-        k = -1
-        if groups:
-            known = heads[: len(groups)]
-            same = ((known == t) | (known == 0)).sum(axis=1)
-            best = int(same.argmax())
-            if 100 * same[best] >= similar * size and 200 * (heads[best] != 0).sum() >= similar * size:
-                k = best
-                heads[k][heads[k] != t] = 0
-        if k < 0:
-            k = len(groups)
-            heads[k] = t
-            groups.append(h)
-        ids.append(h)
-        member.append(k)
-    return [(h, groups[k], heads[k].tobytes()) for h, k in zip(ids, member)]
-
-
-def _parse(batches, similar: int):
-    """Rows (leaf, block, template, tokens) sorted by leaf, block, template."""
+def _roots(size: int):
+    """Union-find over 0 .. size - 1: (find, join); the smaller root wins."""
+    up = list(range(size))
+
+    def find(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    def join(a: int, b: int) -> None:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+
+    return find, join
+
+
+def links(tokens: np.ndarray, similar: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest over the rows of ``tokens``: its trees are what pairs that agree in ``similar`` percent of places connect.
+
+    With ``sides``, only pairs of different sides are compared. A row is not compared with its own tree."""
+    n, size = tokens.shape
+    find, join = _roots(n)
+    out = []
+    for k in range(1, n):
+        same = 100 * (tokens[:k] == tokens[k]).sum(axis=1) >= similar * size
+        if sides is not None:
+            same &= sides[:k] != sides[k]
+        for j in np.flatnonzero(same).tolist():
+            if find(j) != find(k):
+                join(j, k)
+                out.append((j, k))
+    return out
+
+
+def parts(tokens: np.ndarray, similar: int) -> list[bytes]:
+    """Keys of a template: its places after the first DEPTH (equal in the leaf), dealt over one part more than may differ.
+
+    Two templates that agree in ``similar`` percent of all places have a part in common (pigeonhole principle)."""
+    n = len(tokens)
+    differ = n - -(-similar * n // 100)
+    rest = tokens[min(DEPTH, n) :]
+    cuts = np.linspace(0, len(rest), differ + 2).astype(int).tolist()
+    return [k.to_bytes(4, "big") + rest[i:j].tobytes() for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def _keys(batches, similar: int):
+    """A row for each part of each template."""
+    for batch in small(batches):
+        out = []
+        for lf, h, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for key in parts(np.frombuffer(raw, np.int32), similar):
+                out.append((xxhash.xxh3_64_intdigest(lf.to_bytes(8, "big", signed=True) + key) - (1 << 63), h, raw))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "template", "tokens"])
+
+
+def _compare(batches, similar: int):
+    """Rows (bucket, p, q, side, template, tokens) sorted by bucket, p, q: links of each block of a bucket, as (a, b)."""
     now, rows = None, []
 
-    def out(rows):
-        g = group(rows, similar)
-        return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(g), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*g), (pa.int64(), pa.int64(), pa.binary())))], names=["leaf", "template", "head", "tokens"])
+    def out():
+        by_size: dict[int, list] = {}  # only a clash of hashes puts templates of several sizes into one bucket
+        for r in rows:
+            by_size.setdefault(len(r[2]), []).append(r)
+        a, b = [], []
+        for same in by_size.values():
+            sides = None if now[1] == now[2] else np.array([r[0] for r in same])
+            for i, j in links(np.frombuffer(b"".join(r[2] for r in same), np.int32).reshape(len(same), -1), similar, sides):
+                a.append(same[i][1])
+                b.append(same[j][1])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for lf, b, h, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if now != (lf, b):
+        for bucket, p, q, side, h, raw in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if now != (bucket, p, q):
                 if rows:
-                    yield out(rows)
-                now, rows = (lf, b), []
-            rows.append((h, raw))
+                    yield out()
+                now, rows = (bucket, p, q), []
+            rows.append((side, h, raw))
     if rows:
-        yield out(rows)
-
-
-def _rounds(rows: DataFrame, sizes: DataFrame, similar: int, most: int = 8) -> DataFrame:
-    """(template, head). A leaf in one block is done at once; heads of leaves in several meet again until they fit one."""
-    schema = "leaf long, template long, head long, tokens binary"
-
-    def parse(rows: DataFrame, salt: int) -> DataFrame:
-        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("template", F.lit(salt)), blocks))
-        rows = rows.select("leaf", "block", "template", "tokens").repartition("leaf", "block").sortWithinPartitions("leaf", "block", "template")
-        return stored(rows.mapInArrow(partial(_parse, similar=similar), schema), "parsed")
-
-    parsed = parse(rows.join(sizes, "leaf"), 0)
-    out = parsed.select("template", "head")
-    for k in range(1, most):
-        split = sizes.where(F.col("n") > BLOCK)
-        if split.isEmpty():
-            break
-        heads = parsed.join(split.select("leaf"), "leaf", "left_semi").groupBy("leaf", "head").agg(F.first("tokens").alias("tokens")).select("leaf", F.col("head").alias("template"), "tokens")
-        sizes = stored(heads.groupBy("leaf").agg(F.count("*").alias("n")).join(split.withColumnRenamed("n", "was"), "leaf").where("n < was").select("leaf", "n"), "leaves")
-        parsed = parse(heads.join(sizes, "leaf"), k)
-        tops = parsed.select(F.col("template").alias("head"), F.col("head").alias("top"))
-        out = out.join(tops, "head", "left").select("template", F.coalesce("top", "head").alias("head"))
-    return out
+        yield out()
+
+
+def compared(rows: DataFrame, similar: int, block: int) -> DataFrame:
+    """(a, b) links in each bucket of ``rows(bucket, template, tokens, n)``; of more than ``block`` rows, each pair of blocks is a task's."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("template"), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "template", "tokens")
+    rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "template")
+    return rows.mapInArrow(partial(_compare, similar=similar), "a long, b long")
+
+
+def generalised(rows: DataFrame, sizes: DataFrame, similar: int, block: int | None = None) -> DataFrame:
+    """(template, head) of the templates that a link joins to others; head is the smallest of what links connect.
+
+    ``rows(leaf, template, tokens)``, ``sizes(leaf, n)``. A leaf of at most ``block`` templates is compared in one task; in
+    larger ones the templates that share a part are. Either way every pair that agrees is found."""
+    block = block or BLOCK
+    rows = rows.join(sizes, "leaf")
+    few = compared(rows.where(F.col("n") <= block).withColumnRenamed("leaf", "bucket"), similar, block)
+    if sizes.where(F.col("n") > block).isEmpty():
+        return settled(few)
+    keyed = rows.where(F.col("n") > block).select("leaf", "template", "tokens").mapInArrow(partial(_keys, similar=similar), "bucket long, template long, tokens binary")
+    keyed = stored(keyed, "parts")
+    counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return settled(few.unionByName(compared(keyed.join(counts, "bucket"), similar, block)))
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    return components(stored(edges.distinct(), "links")).select(F.col("node").alias("template"), F.col("component").alias("head"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, least: int, similar: int) -> DataFrame:
@@ -165,7 +213,7 @@ def recurring(docs: DataFrame, lines: DataFrame, least: int, similar: int) -> Da
     rows = docs.select("text").mapInArrow(partial(_tokens, least=least), "template long, leaf long, tokens binary")
     rows = rows.join(F.broadcast(leaves.select("leaf")) if small else leaves.select("leaf"), "leaf", "left_semi")
     rows = rows.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"))
-    heads = _rounds(rows, leaves, similar)
+    heads = generalised(rows, leaves, similar)
     counts = counts.join(heads, "template", "left").select("template", F.coalesce("head", "template").alias("head"), "low", "high")
     tops = counts.groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high")
     return counts.join(tops.select("head", F.col("low").alias("stays")), "head").select("template", "stays")
@@ -196,7 +244,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_TOKENS, similar: int = SIMIL
 
     A line of ``least`` tokens or more whose template occurs in several documents stays only in the one with
     the smallest doc_id, and so does a line of LEAST_SHORT tokens or more that is found word for word in MANY. In scripts
-    without blanks two characters count as a token, and only equal lines are found; repeats within one document stay. Null and empty texts, and rows with a null doc_id, are left alone
+    without blanks two characters count as a token, and only equal lines are found. Ties: the smallest doc_id has a line's
+    place whatever the order of rows; very long lines are compared whole. Repeats within one document stay. Null and empty texts, and rows with a null doc_id, are left alone
     and do not count. Rows with the same doc_id are one document. A column ``n_dropped`` of the input is replaced. An empty
     table gives no rows.
     """
