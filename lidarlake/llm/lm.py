@@ -100,16 +100,20 @@ class Lattice:
         return got
 
     def expect(self, word: bytes, count: float, into: dict[str, float]) -> None:
-        """Add ``count`` times the expected number of each piece over all segmentations of a word."""
-        w = self.MARK + word.decode("utf-8", "surrogatepass")
-        for k in range(0, len(w), 64):  # the parts of a very long word are summed one by one
-            self._expect(w[k : k + 64], count, into)
+        """Add ``count`` times the expected number of each piece over all segmentations of a word.
 
-    def _expect(self, w: str, count: float, into: dict[str, float]) -> None:
+        Sums from the left and from the right are each rescaled where they get small; a place's two scales meet again in the
+        ratio to the whole, which is never small."""
+        w = self.MARK + word.decode("utf-8", "surrogatepass")
         n, starts = len(w), self.starts.get
-        f, arcs = [1.0] + [0.0] * n, []
+        f, arcs, scale, now = [1.0] + [0.0] * n, [], [0.0] * (n + 1), 0.0
         for j in range(n):
             x = f[j]
+            if x < 1e-150:
+                for k in range(j, min(n, j + LONGEST) + 1):
+                    f[k] /= x
+                now, x = now + math.log(x), 1.0
+            scale[j] = now
             f[j + 1] += x * self._spelled(w[j])
             for i in range(j + 1, n + 1):
                 p = starts(w[j:i])
@@ -118,10 +122,15 @@ class Lattice:
                 if p:
                     f[i] += x * p
                     arcs.append((j, i, p))
-        if f[n] < 1e-290:
-            return
-        b, at = [0.0] * n + [count / f[n]], len(arcs) - 1
+        whole, at = math.log(f[n]) + now, len(arcs) - 1
+        b, now = [0.0] * n + [1.0], 0.0
         for j in range(n - 1, -1, -1):
+            if b[j + 1] < 1e-150:
+                x = b[j + 1]
+                for k in range(j + 1, min(n, j + 1 + LONGEST) + 1):
+                    b[k] /= x
+                now += math.log(x)
+            share = count * f[j] * math.exp(min(600.0, scale[j] + now - whole))
             back = b[j + 1] * self._spelled(w[j])
             while at >= 0 and arcs[at][0] == j:
                 _, i, p = arcs[at]
@@ -129,7 +138,7 @@ class Lattice:
                 x = p * b[i]
                 back += x
                 piece = w[j:i]
-                into[piece] = into.get(piece, 0.0) + f[j] * x
+                into[piece] = into.get(piece, 0.0) + share * x
             b[j] = back
 
 
