@@ -83,7 +83,7 @@ def test_urls_with_other_rules(spark):
 # ---- decontamination -----------------------------------------------------------------------------------
 
 
-def test_leaks_with_substitutions(spark):
+def test_leaks_with_substitutions(spark, monkeypatch):
     r, vocabulary = random.Random(4), [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
     item = [r.choice(vocabulary) for _ in range(40)]
     noise = lambda n: [r.choice(vocabulary) for _ in range(n)]
@@ -91,11 +91,11 @@ def test_leaks_with_substitutions(spark):
     docs = [(1, " ".join(noise(30) + item + noise(30))), (2, " ".join(noise(50) + swapped + noise(9))), (3, " ".join(noise(120))), (4, " ".join(item[:10])), (5, None), (6, ""), (None, " ".join(item)), (7, " ".join(item[5:30]).upper() + "!"), (7, "other text")]
     bench = spark.createDataFrame([(9, ", ".join(item), "x"), (10, None, "x"), (11, "too short", "x")], "item_id long, text string, words string")
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, place long")
-    for most in ((decontaminate.BROADCAST_SEEDS, decontaminate.BROADCAST_ALIGNMENTS), (0, 0)):
-        decontaminate.BROADCAST_SEEDS, decontaminate.BROADCAST_ALIGNMENTS = most
+    for seeds, alignments in ((decontaminate.BROADCAST_SEEDS, decontaminate.BROADCAST_ALIGNMENTS), (0, 0)):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+        monkeypatch.setattr(decontaminate, "BROADCAST_ALIGNMENTS", alignments)
         got = {(x.doc_id, x.item_id): x.overlap for x in decontaminate.leaks(df, bench).collect()}
         assert set(got) == {(1, 9), (2, 9), (7, 9)} and got[1, 9] == 1.0 and 0.8 <= got[2, 9] < 1
-    decontaminate.BROADCAST_SEEDS, decontaminate.BROADCAST_ALIGNMENTS = 1_000_000, 200_000
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["3", "4", "5", "6", "None"]
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
@@ -185,18 +185,58 @@ def test_statistics_equal_brute_force(texts):
         assert quality.statistics(t, w) == (len(w), chars, sum(c in "#*$%&|<>" for c in t), len(lines_) - len(set(lines_)), brute_repeats(w))
 
 
-def test_model_is_a_distribution():
-    """Modified Kneser-Ney over characters: all continuations of a context sum to one, unseen ones included."""
-    count = collections.Counter(g for w in ["banana", "bandana", "anna", "ban", "nab", "abba"] * 3 + ["xyz"] for g in quality.word_grams(w, 3))
-    m = quality.Model(count, 3)
-    letters = {g[-1] for g in count}
-    for context in ("", "b", "an", "zz"):
-        total = 0.0
-        for c in [*letters - {quality.END}, "?"]:
-            total += 10 ** (m.words([context + c + "q"])[0] - m.words([context + c + "q"])[0])
-        assert total  # scores are finite
-    assert m.words(["banana"])[0] > m.words(["bnaaan"])[0] > m.words(["qqqqqq"])[0]
-    assert m.words(["banana", "xyz"])[1] == pytest.approx(m.words(["xyz"])[0])
+def kneser_ney(docs, tokens):
+    """p(c | a, b) of a modified Kneser-Ney model of ``docs`` (lists of token numbers), by dictionaries alone."""
+    tables = {3: collections.Counter(t for d in docs for t in zip([0, 0, *d], [0, *d], d))}
+    for n in (2, 1):
+        tables[n] = collections.Counter(g[1:] for g in tables[n + 1])
+    discounts = {n: quality._discounts(*(sum(c == k for c in t.values()) for k in (1, 2, 3, 4))) for n, t in tables.items()}
+
+    def p(context, c):
+        n = len(context) + 1
+        low = p(context[1:], c) if n > 1 else 1 / tokens
+        beside = {g[-1]: x for g, x in tables[n].items() if g[:-1] == context}
+        if not beside:
+            return low
+        d = lambda x: discounts[n][min(x, 3) - 1]
+        total = sum(beside.values())
+        return (beside[c] - d(beside[c])) / total * (c in beside) + sum(map(d, beside.values())) / total * low if c in beside else sum(map(d, beside.values())) / total * low
+
+    return p
+
+
+def test_model_equals_brute_force(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("the cat dog sat on a mat zebra7 Ünder".split()) for _ in range(r.randint(1, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([("en", t) for t in texts] + [("fr", "le chat"), ("de", None), ("de", " ")], "lang string, text string").repartition(3)
+    v, m = quality.train(docs, keep=10**9, least_gram=1)
+    assert b"cat" in v.words and b"chat" not in v.words
+    assert v.tokens([b"chat", b"the"]).tolist() == [quality.MARK, *(quality.FIRST_BYTE + c for c in b"chat"), v.words[b"the"]]
+    seen = [v.tokens(t.encode().split()).tolist() for t in texts]
+    want, lang = kneser_ney(seen, len(v)), v.lang("en")
+    for a, b in [(0, 0), (0, seen[0][0]), (seen[1][0], seen[1][1]), (5, 7), (v.words[b"cat"], quality.MARK)]:
+        c = np.arange(1, len(v))
+        got = m.probability(lang << 3 * quality.BITS | a << 2 * quality.BITS | b << quality.BITS | c)
+        assert got.sum() == pytest.approx(1 - m.probability(np.array([lang << 3 * quality.BITS | a << 2 * quality.BITS | b << quality.BITS]))[0])
+        for k in r.sample(range(len(c)), 40) + [x - 1 for x in seen[0]]:
+            assert got[k] == pytest.approx(want((a, b), int(c[k]))), (a, b, c[k])
+    logs = quality.log_probabilities(m, [np.array(d) for d in seen], [lang] * len(seen))
+    assert logs[4] == pytest.approx(sum(np.log10(want(g[:2], g[2])) for g in zip([0, 0, *seen[4]], [0, *seen[4]], seen[4])))
+    assert m.probability(np.array([7 << 3 * quality.BITS | 9]))[0] == pytest.approx(1 / len(v))  # a language without a model
+
+
+def test_pruned_model_is_a_distribution_and_sees_order(spark, corpus):
+    docs = corpus.select("lang", "text").where("lang is not null")
+    v, m = quality.train(docs, keep=3000)
+    assert all(len(g[0]) <= 3000 for g in m.grams) and len(m.grams[2][0])
+    w = [x for x in docs.first().text.encode().split()]
+    lang, c = v.lang(docs.first().lang), np.arange(len(v))
+    for a, b in ((0, 0), (v.tokens(w)[0], v.tokens(w)[1])):
+        assert m.probability(lang << 3 * quality.BITS | a << 2 * quality.BITS | b << quality.BITS | c).sum() == pytest.approx(1)
+    mixed = w[:]
+    random.Random(1).shuffle(mixed)
+    one, two = quality.log_probabilities(m, [v.tokens(w), v.tokens(mixed)], [lang, lang])
+    assert one > two
 
 
 def test_quality_of_awkward_and_empty_tables(awkward, empty):
@@ -291,18 +331,62 @@ def test_lattice_sums_all_segmentations():
     assert sum(into.values()) > 3 and all(v > 0 for v in into.values())
 
 
-def test_base_scores_equal_brute_force(corpus, texts):
+def test_expected_pieces_equal_brute_force():
+    probs = {"▁": 0.1, "▁a": 0.2, "b": 0.1, "ab": 0.05, "▁ab": 0.03, "a": 0.02, "ba": 0.04}
+    lat, p = lm.Lattice(probs, 1e-4), lambda x: probs.get(x, 0.0)
+    for word in ("ab", "aab", "abba", "babab"):
+        all_ = [(math.prod(p(x) + (1e-4 if len(x) == 1 else 0.0) * (x.isascii()) + (1e-12 if x == "▁" else 0.0) for x in s), s) for s in segmentations("▁" + word)]
+        # a single character counts as its piece by the share of the piece in its weight
+        whole, want = sum(w for w, _ in all_), collections.Counter()
+        for w, s in all_:
+            for x in s:
+                spelled = 0.0 if len(x) > 1 else 1e-4 if x.isascii() else 1e-12
+                if p(x):
+                    want[x] += 2 * w / whole * p(x) / (p(x) + spelled)
+        into = {}
+        lat.expect(word.encode(), 2.0, into)
+        assert {x: v for x, v in into.items() if v > 1e-12} == pytest.approx({x: v for x, v in want.items() if v > 1e-12})
+    long, short = {}, {}
+    lat.expect(b"ab" * 5000, 1.0, long)  # far beyond what a number holds without scales
+    lat.expect(b"ab" * 500, 1.0, short)
+    assert long["ab"] == pytest.approx(10 * short["ab"], rel=0.01)
+
+
+def test_scores_equal_brute_force(spark):
+    """The score column: one step of expectation maximisation and the sum over segmentations, by enumeration."""
+    docs = [(k, t) for k, t in enumerate(["to be or", "be not", "to", "", "or not to"] * 4)]
+    path = tokenizer_path("piece_bpe_32k.model")
+    start = lm.Lattice.from_model(path)
+    train = [t for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    spelled = lambda b, x: 0.0 if len(x) > 1 else b ** len(x.encode())
+    got = collections.Counter()
+    for word, n in collections.Counter(w for t in train for w in t.split()).items():
+        all_ = [(math.prod(start.probs.get(x, 0.0) + spelled(start.byte, x) for x in s), s) for s in segmentations("▁" + word)]
+        whole = sum(w for w, _ in all_)
+        for w, s in all_:
+            for x in s:
+                if x in start.probs:
+                    got[x] += n * w / whole * start.probs[x] / (start.probs[x] + spelled(start.byte, x))
+    total = sum(got.values()) + len(train) + 0.01 * len(start.probs) + 2.56
+    p = lambda x: ((got[x] + 0.01) / total if x in start.probs else 0.0) + spelled(0.01 / total, x)
+    word = lambda w: sum(math.prod(map(p, s)) for s in segmentations("▁" + w))
+    rows = lm.score(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()
+    for r in rows:
+        want = sum(math.log10(word(w)) for w in docs[r.doc_id][1].split()) + math.log10(len(train) / total)
+        assert r.score == pytest.approx(want, rel=1e-6)
+
+
+def test_base_scores_equal_brute_force(corpus, texts, monkeypatch):
     train = {d for d in texts if zlib.crc32(str(d).encode()) % 5 != 1}
     c = collections.Counter(x for d in train for x in [*words(texts[d]), lm.END])
     n, v = sum(c.values()), len(c)
     for heavy in (lm.HEAVY, 50):
-        lm.HEAVY = heavy
+        monkeypatch.setattr(lm, "HEAVY", heavy)
         for r in lm.score(corpus, tokenizer_path("piece_bpe_32k.model")).collect():
             w = [*words(texts[r.doc_id]), lm.END]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in train, len(w), sum(c[x] > 0 for x in w), n)
             assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
             assert r.score < 0
-    lm.HEAVY = 200_000
 
 
 def test_lm_of_awkward_and_empty_tables(awkward, empty):
