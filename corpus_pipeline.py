@@ -18,8 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that recur across documents stay in the first alone; every document stays."""
+    """Lines that recur across documents stay in the first alone; a document of which nothing else is left goes.
+
+    Documents that were empty or null before stay. Nulls in other columns, repeated rows and very long texts go through as they are."""
     out = lines.dedup_lines(docs)
+    out = out.where((F.col("n_dropped") == 0) | F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
