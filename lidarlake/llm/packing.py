@@ -4,13 +4,15 @@ Lengths are integers below the sequence size, so a histogram of them is small wh
 the large lengths are split into groups of equal cardinality and rounded up to their group's largest; for these
 few sizes a fractional optimum over configurations is found by column generation and rounded down, what is
 left over is placed best-fit; then the actual lengths replace the rounded ones (as runs of equal lengths,
-never document by document) and the small lengths go best-fit into the gaps. The plan says which ranks of each
+never document by document) and the small lengths go best-fit into the gaps. Rounding leaves gaps where small lengths are
+few: sequences with free room (and, if that helps, those of many lengths) are then taken apart and filled best-fit, at the limit that gives fewest. The plan says which ranks of each
 length go to which sequences; documents look up their rank. Nothing but the histogram and the per-shard
 counts of lengths leaves the executors.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -27,7 +29,7 @@ from lidarlake.llm.tokens import encoder as encoder_of
 
 GROUPS = 96
 #: Lengths over capacity / SMALL are large.
-SMALL = 4
+SMALL = 3
 #: With at most so many shards (of at most ``capacity`` lengths, 16 bytes each) their first ranks are broadcast.
 BROADCAST_SHARDS = 2000
 PIECES = "doc_id long, piece int, start long, length int, ids array<int>, shard int, place long"
@@ -36,27 +38,23 @@ PIECES = "doc_id long, piece int, start long, length int, ids array<int>, shard
 # ---- the plan, on the driver -------------------------------------------------------------------------
 
 
-def _knapsack(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, list[int]]:
-    """Unbounded knapsack: best value and how often each size is taken."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = [i for i in range(len(sizes)) if values[i] > 1e-12]
-    s, v = np.array([sizes[i] for i in order], int), np.array([values[i] for i in order])
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        fits = s <= c
-        if fits.any():
-            x = np.where(fits, v + best[np.maximum(c - s, 0)], -1)
-            k = int(x.argmax())
-            if x[k] > best[c] + 1e-12:
-                best[c], took[c] = x[k], order[k]
+def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """Best value of a sequence and how often each size is taken; sizes are large, so few fit, and one more is tried at a time."""
+    room = np.arange(capacity + 1)
+    best, took = [np.zeros(capacity + 1)], []
+    rest = room[None, :] - sizes[:, None]
+    for _ in range(capacity // int(sizes.min())):
+        x = np.where(rest >= 0, values[:, None] + best[-1][np.maximum(rest, 0)], -1.0)
+        k = x.argmax(axis=0)
+        x = x[k, room]
+        took.append(np.where(x > best[-1] + 1e-12, k, -1))
+        best.append(np.maximum(x, best[-1]))
     counts, c = [0] * len(sizes), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            counts[took[c]] += 1
-            c -= sizes[took[c]]
-    return float(best[capacity]), counts
+    for k in reversed(took):
+        if k[c] >= 0:
+            counts[k[c]] += 1
+            c -= sizes[k[c]]
+    return float(best[-1][capacity]), counts
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], float]]:
@@ -67,7 +65,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     for _ in range(rounds):
         x = np.linalg.solve(basis, d)
         price = np.linalg.solve(basis.T, np.ones(n))
-        value, column = _knapsack(price, sizes, capacity)
+        value, column = _knapsack(price, np.array(sizes), capacity)
         if value <= 1 + 1e-7:
             break
         step = np.linalg.solve(basis, np.array(column, float))
@@ -123,8 +121,34 @@ class _BestFit:
         return [Run(x, n, free) for free, runs in sorted(self.by_free.items()) for x, n in runs.items()]
 
 
+def refill(runs: list[Run], capacity: int) -> list[Run]:
+    """The best of: the runs as they are; those with some free room, and then those of many lengths too, taken apart and placed best-fit, largest first."""
+    best, least = runs, sum(r.count for r in runs)
+    most = max((r.free for r in runs), default=0)
+    loosen = [(1 << k, math.inf) for k in reversed(range(most.bit_length()))] + [(1, n) for n in (64, 32, 16, 8, 6, 5, 4, 3)]
+    for room, lengths in loosen:
+        fit, loose = _BestFit(capacity), Counter()
+        for r in runs:
+            if r.free < room and len(r.lengths) < lengths:
+                fit.put(r.lengths, r.count)
+            else:
+                for length in r.lengths:
+                    loose[length] += r.count
+        for length in sorted(loose, reverse=True):
+            fit.place(length, loose[length])
+        n = sum(sum(x.values()) for x in fit.by_free.values())
+        if n < least:
+            best, least = fit.runs(), n
+    return best
+
+
 def pack_histogram(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> list[Run]:
     """Runs of sequences that hold exactly ``histogram`` (length -> count; 0 < length <= capacity)."""
+    return refill(linear_grouping(histogram, capacity, groups), capacity)
+
+
+def linear_grouping(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> list[Run]:
+    """The plan of the scheme itself, before sequences with free room are filled again."""
     large = sorted((s for s in histogram if s > capacity // SMALL), reverse=True)
     fit = _BestFit(capacity)
     total = sum(histogram[s] for s in large)

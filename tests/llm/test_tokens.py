@@ -110,3 +110,17 @@ def test_histogram_is_packed_whole():
                 got[x] = got.get(x, 0) + run.count
         assert got == h
     assert packing.pack_histogram({}, 100) == []
+
+
+def test_histogram_packs_as_well_as_best_fit_decreasing():
+    """Many small documents, as in a corpus, and lengths that fit badly."""
+    r = random.Random(7)
+    for f in (lambda: min(1023, int(r.lognormvariate(5.5, 1.1)) + 1), lambda: r.randint(200, 1000), lambda: r.choice([200, 340, 342, 500, 513, 20])):
+        h = {}
+        for _ in range(4000):
+            x = f()
+            h[x] = h.get(x, 0) + 1
+        fit = packing._BestFit(1024)
+        for x in sorted(h, reverse=True):
+            fit.place(x, h[x])
+        assert sum(r.count for r in packing.pack_histogram(dict(h), 1024)) <= sum(r.count for r in fit.runs()) * 1.001 + 1
