@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -13,7 +14,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 
 from tokenizers import Tokenizer  # noqa: E402
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: White space beside a space: only then a space may not open a token.
+_BESIDE = (re.compile(r" \s").search, re.compile(r"\s ").search)
 _AT_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: A space at most, Latin-1 letters (no composition or unusual case can touch them), ASCII punctuation at most.
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -25,18 +27,20 @@ _BYTE_NAMES = str.maketrans({b: chr(b) for b in _SHOWN} | {b: chr(0x100 + k) for
 _SPACE_NAME = " ".translate(_BYTE_NAMES)
 
 
-class Encoder:
+class Encoder(dict):
     """text -> ids as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode`` without special tokens.
 
     A text is cut before each single space that stands between two other characters. No token of the
     tokenizers used here crosses such a place (``word_bpe``: white space is dropped; ``byte_bpe``: a space
-    opens the next token), so ids of the pieces can be kept and joined. A new piece that is a plain word goes
+    opens the next token), so ids of the pieces can be kept and joined: the encoder is the dictionary of the pieces that
+    it knows, in two bytes an id where the vocabulary allows. A new piece that is a plain word goes
     straight to the tokenizer's model; any other takes the tokenizer's whole way. At most 2 * ``most`` pieces are
     kept: the older half is forgotten, but for what was used since. Special tokens' strings in a text are
     ordinary text.
     """
 
     def __init__(self, path: str, most: int = 180_000):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -44,8 +48,8 @@ class Encoder:
         kinds = json.dumps([parts["normalizer"], parts["pre_tokenizer"]])
         self.plain = parts["model"]["type"] == "BPE" and "ByteLevel" in kinds
         self.lower = "Lowercase" in kinds  # such a tokenizer also drops white space
-        self.kind, self.code = ("u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("u4", "I")
-        self.most, self.known, self.old = most, {}, {}
+        self.kind, self.type = ("u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("u4", "I")
+        self.most, self.old = most, {}
 
     def _part(self, space: str, part: str) -> bytes:
         """Ids of a run of letters or of marks, with the space before it, if the tokenizer keeps that."""
@@ -53,50 +57,37 @@ class Encoder:
             space, part = "", part.lower()
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(_BYTE_NAMES)
-        return array(self.code, [t.id for t in self.model.tokenize(_SPACE_NAME + part if space else part)]).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        known, old, hard = self.known, self.old, []
-        if len(known) + len(pieces) > self.most:
-            self.old, self.known = old, known = known, {}
-        for x in pieces:
-            if (ids := old.get(x)) is not None:
-                known[x] = ids
-            elif self.plain and (m := _PLAIN.fullmatch(x)):
+        return array(self.type, [t.id for t in self.model.tokenize(_SPACE_NAME + part if space else part)]).tobytes()
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.old.get(x)
+        if ids is None:
+            if self.plain and (m := _PLAIN.fullmatch(x)):
                 space, letters, marks = m.groups()
-                if marks:  # the bare word may be known
-                    bare = x[: -len(marks)]
-                    ids = known.get(bare) or old.get(bare) or self._part(space, letters)
-                    known[x] = ids + self._part("", marks)
+                if marks:  # the bare word and the marks may be known
+                    ids = self[space + letters] + (self[marks] if len(marks) == 1 else self._part("", marks))
                 else:
-                    known[x] = self._part(space, letters)
+                    ids = self._part(space, letters)
+            elif (k := x.find("\n")) > 0 and k + 1 < len(x) and not x[k - 1].isspace() and not x[k + 1].isspace():
+                ids = self[x[:k]] + self["\n"] + self[x[k + 1 :]]  # a line's end between two words is a token of its own, or none
             else:
-                hard.append(x)
-        for x, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
-            known[x] = array(self.code, e.ids).tobytes()
+                ids = array(self.type, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[x] = ids
+        return ids
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _TWO_SPACES.search(text):
+        if any(beside(text) for beside in _BESIDE):
             pieces = _AT_SPACE.split(text)
         elif self.lower:
             pieces = text.split(" ")  # a space opens no token
         else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-        known = self.known
-        try:
-            raw = b"".join([known[x] for x in pieces])
-        except KeyError:
-            new = list({x for x in pieces if x not in known})
-            self._learn(new)
-            known = self.known
-            try:
-                raw = b"".join([known[x] for x in pieces])
-            except KeyError:  # a generation ended: the text's other words are in the old one
-                old = self.old
-                raw = b"".join([known[x] if x in known else old[x] for x in pieces])
+            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _AT_SPACE.split(text)
+        raw = b"".join(map(self.__getitem__, pieces))
         return np.frombuffer(raw, self.kind).astype("<u4").tobytes()
 
 
@@ -106,5 +97,6 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The process's encoder of a tokenizer: reused Python workers keep what they know from task to task."""
     if path not in _ENCODERS:
+        gc.set_threshold(100_000)  # what is kept are strings and bytes: nothing to collect
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
