@@ -1,3 +1,3 @@
-from lidarlake.plans import algebra, audit, machines, mapping, planner, retrieval
+from lidarlake.plans import algebra, audit, contracts, estimator, guidance, machines, mapping, planner, retrieval
 
-MODULES = (audit, mapping, planner, retrieval, algebra, machines)
+MODULES = (audit, mapping, planner, retrieval, algebra, machines, estimator, guidance, contracts)

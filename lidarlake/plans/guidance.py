@@ -68,7 +68,7 @@ def wrapped(sql: str) -> str:
   w AS (SELECT *, CASE WHEN intent = 'LEFT_ORBIT' THEN {wrapped("coalesce(away, yaw) + pi() / 2")} WHEN intent = 'RIGHT_ORBIT' THEN {wrapped("coalesce(away, yaw) - pi() / 2")}
     WHEN intent = 'PULL_BACK' OR state = 'WARNING' THEN coalesce(away, {wrapped("yaw + pi()")}) ELSE yaw END AS aim FROM y)
   SELECT event_id, round(aim, 6) + 0.0 AS aim, CASE WHEN intent NOT IN ({_quoted(DIRECTIONAL)}) OR state = 'WARNING' THEN true WHEN intent = 'UP_SCAN' AND yaw <= 0.5 + 1e-3 THEN false WHEN intent = 'DOWN_SCAN' AND yaw >= 0.5 - 1e-3 THEN false
-    ELSE abs({wrapped("2 * yaw - aim")}) <= CASE WHEN intent IN ('LEFT_ORBIT', 'RIGHT_ORBIT') THEN radians(75.0) WHEN intent IN ('UP_SCAN', 'DOWN_SCAN') THEN radians(95.0) ELSE radians(55.0) END END AS allowed FROM w""")
+    ELSE abs({wrapped("2 * yaw - aim")}) <= CASE WHEN intent IN ('LEFT_ORBIT', 'RIGHT_ORBIT') THEN radians(70.0) WHEN intent IN ('UP_SCAN', 'DOWN_SCAN') THEN radians(90.0) ELSE radians(60.0) END END AS allowed FROM w""")
 def intent_aim(spark, sf_dir):
     """Where an intent points (orbits go along the surface, if one is near; retreats away from it), and whether a candidate lies in its corridor."""
     i = intents(spark, sf_dir).withColumn("away", F.when(_C("event_id") % 3 == 0, _C("yaw") * 0.7))
@@ -76,7 +76,7 @@ def intent_aim(spark, sf_dir):
     base, turn = F.coalesce("away", "yaw"), math.pi / 2
     aim = F.when(_C("intent") == "LEFT_ORBIT", wrap(base + turn)).when(_C("intent") == "RIGHT_ORBIT", wrap(base - turn))
     aim = aim.when((_C("intent") == "PULL_BACK") | (_C("state") == "WARNING"), F.coalesce(_C("away"), wrap(_C("yaw") + math.pi))).otherwise(_C("yaw"))
-    corridor = F.when(_C("intent").isin("LEFT_ORBIT", "RIGHT_ORBIT"), math.radians(75)).when(_C("intent").isin("UP_SCAN", "DOWN_SCAN"), math.radians(95)).otherwise(math.radians(55))
+    corridor = F.when(_C("intent").isin("LEFT_ORBIT", "RIGHT_ORBIT"), math.radians(70)).when(_C("intent").isin("UP_SCAN", "DOWN_SCAN"), math.radians(90)).otherwise(math.radians(60))
     # a candidate at twice the yaw, its height the yaw against 0.5
     allowed = (
         F.when(~_C("intent").isin(*DIRECTIONAL) | (_C("state") == "WARNING"), True).when((_C("intent") == "UP_SCAN") & (_C("yaw") <= 0.5 + 1e-3), False)
@@ -134,9 +134,9 @@ def height_offsets(spark, sf_dir):
 
 # ---- candidates -----------------------------------------------------------------------------------------
 
-#: Least score of a mode, and most unknown share of a path by state (WATCH: at most 0.25).
-ACCEPT = {"EXPLORE": 0.15, "CONSERVATIVE": 0.10, "RECOVER": 0.02, "RETREAT_OR_HOLD": -0.20}
-ACCEPT_ELSE, UNKNOWN, UNKNOWN_ELSE = 0.05, {"WARNING": 0.20, "RECOVERING": 0.15}, 0.35
+#: Least score of a mode, and most unknown share of a path by state; WATCH: at most 0.25 (fixed values).
+ACCEPT = {"EXPLORE": 0.05, "CONSERVATIVE": 0.0, "RECOVER": -0.05, "RETREAT_OR_HOLD": -0.10}
+ACCEPT_ELSE, UNKNOWN, UNKNOWN_ELSE = -0.25, {"WARNING": 0.18, "RECOVERING": 0.22}, 0.30
 
 
 def _case(value: Column, table_: dict, other: float) -> Column:
@@ -177,8 +177,8 @@ def unknown_path_limit(spark, sf_dir):
 _GAIN = "g AS (SELECT scan, idx, CASE WHEN scan % 2 = 0 THEN 0.0 ELSE greatest(least(abs(x) / 8.0 - 0.05, 1.0), 0.0) END AS gain, abs(y) / 8.0 AS density FROM points)"
 
 
-@query(f"""WITH {POINTS}, {_GAIN}, m AS (SELECT scan, max(gain) AS best FROM g GROUP BY scan) SELECT idx, round(CASE WHEN best > 1e-6 THEN gain ELSE greatest(least(0.5 * density, 1.0), 0.0) END, 6) AS gain, best <= 1e-6 AS fallback FROM g JOIN m USING (scan)""")
-def surface_gain_fallback(spark, sf_dir, scale: float = 0.5):
+@query(f"""WITH {POINTS}, {_GAIN}, m AS (SELECT scan, max(gain) AS best FROM g GROUP BY scan) SELECT idx, round(CASE WHEN best > 1e-6 THEN gain ELSE greatest(least(0.35 * density, 1.0), 0.0) END, 6) AS gain, best <= 1e-6 AS fallback FROM g JOIN m USING (scan)""")
+def surface_gain_fallback(spark, sf_dir, scale: float = 0.35):
     """Where no candidate of a scan sees any surface, scaled point density stands in; the repeat penalty is taken off the gain."""
     g = points(spark, sf_dir).select("scan", "idx", F.when(_C("scan") % 2 == 0, 0.0).otherwise(S.clamp(F.abs("x") / 8.0 - 0.05, 0.0, 1.0)).alias("gain"), (F.abs("y") / 8.0).alias("density"))
     g = g.join(g.groupBy("scan").agg(F.max("gain").alias("best")), "scan")

@@ -92,16 +92,19 @@ def admit(state: tuple | None, row: tuple, late: float = 0.1, gap: float = 0.5,
     return (stamp, session), (name, session, "ready")
 
 
-def commit_goal(state: tuple | None, row: tuple, least_hold: float = 1.0, most_hold: float = 4.0, margin: float = 0.15) -> tuple[tuple, tuple]:
-    """row: (id, now, goal, score). A goal stays at least and at most so long, and while no other is better by a margin."""
-    name, now, goal, score = row
-    if state is None:
-        return (goal, score, now), (name, goal, score)
-    held, held_score, since = state
-    age = now - since
-    if age < 0 or age > most_hold or (age >= least_hold and goal != held and score > held_score + margin):
-        return (goal, score, now), (name, goal, score)
-    return (held, held_score, since), (name, held, held_score)
+def commit_goal(state: tuple | None, row: tuple, least_hold: float = 2.5, most_hold: float = 6.0, margin: float = 0.20, bearing: float = 18.0) -> tuple[tuple, tuple]:
+    """row: (id, now, goal, score, direction in degrees).
+
+    A goal is held for at least ``least_hold``. Then another takes its place if it is better by more than ``margin`` and
+    lies at least ``bearing`` degrees elsewhere, or if it is that much better and the hold is longer than ``most_hold``."""
+    name, now, goal, score, direction = row
+    if state is not None:
+        held, held_score, held_direction, since = state
+        age, better = now - since, score > held_score + margin
+        elsewhere = abs((direction - held_direction + 180.0) % 360.0 - 180.0) >= bearing
+        if age < least_hold or not (better and (age > most_hold or elsewhere)):
+            return state, (name, held, held_score)
+    return (goal, score, direction, now), (name, goal, score)
 
 
 def decay_visits(state: tuple | None, row: tuple, sectors: int = 8, every: float = 10.0, revisit: float = 5.0) -> tuple[tuple, tuple]:
