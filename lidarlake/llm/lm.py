@@ -29,6 +29,8 @@ HEAVY = 200_000
 LONGEST = 16
 #: Exponent of the distribution by rank that the first expectations start from.
 ZIPF = 0.5
+#: Marks of words met once, by hash.
+_SEEN = 1 << 22
 #: A document's end is a token; no word can be spelled like this.
 END = b"\n"
 
@@ -47,7 +49,7 @@ class Lattice:
 
     def __init__(self, probs: dict[str, float], byte: float, most: int = 200_000):
         self.probs, self.byte, self.most = probs, byte, most
-        self.known: dict[bytes, float] = {}
+        self.known, self.seen = {}, bytearray(_SEEN)
         #: piece or beginning of one -> probability (0: only a beginning); a walk ends where this ends
         self.starts = {p[:k]: 0.0 for p in probs for k in range(1, len(p))} | probs
 
@@ -94,9 +96,15 @@ class Lattice:
             return math.log10(self.probs.get(self.MARK + "\n", self.byte))
         got = self.known.get(word)
         if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            got = self.known[word] = self._log(self.MARK + word.decode("utf-8", "surrogatepass")) / math.log(10)
+            got = self._log(self.MARK + word.decode("utf-8", "surrogatepass")) / math.log(10)
+            k = hash(word) & (_SEEN - 1)
+            if self.seen[k]:  # met before: most words are never met again, and those are not worth a place
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                    self.seen = bytearray(_SEEN)
+                self.known[word] = got
+            else:
+                self.seen[k] = 1
         return got
 
     def expect(self, word: bytes, count: float, into: dict[str, float]) -> None:
