@@ -27,6 +27,10 @@ _BYTE_NAMES = str.maketrans({b: chr(b) for b in _SHOWN} | {b: chr(0x100 + k) for
 _SPACE_NAME = " ".translate(_BYTE_NAMES)
 
 
+#: Marks of pieces met once, by hash.
+_SEEN = 1 << 22
+
+
 class Encoder(dict):
     """text -> ids as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode`` without special tokens.
 
@@ -34,8 +38,8 @@ class Encoder(dict):
     tokenizers used here crosses such a place (``word_bpe``: white space is dropped; ``byte_bpe``: a space
     opens the next token), so ids of the pieces can be kept and joined: the encoder is the dictionary of the pieces that
     it knows, in two bytes an id where the vocabulary allows. A new piece that is a plain word goes
-    straight to the tokenizer's model; any other takes the tokenizer's whole way. At most 2 * ``most`` pieces are
-    kept: the older half is forgotten, but for what was used since. Special tokens' strings in a text are
+    straight to the tokenizer's model; any other takes the tokenizer's whole way. A piece is kept when it is met again. At
+    most 2 * ``most`` pieces are kept: the older half is forgotten, but for what was used since. Special tokens' strings in a text are
     ordinary text.
     """
 
@@ -49,7 +53,7 @@ class Encoder(dict):
         self.plain = parts["model"]["type"] == "BPE" and "ByteLevel" in kinds
         self.lower = "Lowercase" in kinds  # such a tokenizer also drops white space
         self.kind, self.type = ("u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("u4", "I")
-        self.most, self.old = most, {}
+        self.most, self.old, self.seen = most, {}, bytearray(_SEEN)
 
     def _part(self, space: str, part: str) -> bytes:
         """Ids of a run of letters or of marks, with the space before it, if the tokenizer keeps that."""
@@ -72,10 +76,15 @@ class Encoder(dict):
                 ids = self[x[:k]] + self["\n"] + self[x[k + 1 :]]  # a line's end between two words is a token of its own, or none
             else:
                 ids = array(self.type, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[x] = ids
+        k = hash(x) & (_SEEN - 1)
+        if self.seen[k]:  # met before: most pieces are never met again, and those are not worth a place
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+                self.seen = bytearray(_SEEN)
+            self[x] = ids
+        else:
+            self.seen[k] = 1
         return ids
 
     def __call__(self, text: str | None) -> bytes:
