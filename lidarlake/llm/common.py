@@ -54,7 +54,7 @@ HAS_WORD = re.compile(f"[^{SPACE}]").search
 class Hashes(dict):
     """word -> stable 64-bit hash, kept for ``most`` words so that memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 

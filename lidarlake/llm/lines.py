@@ -82,7 +82,7 @@ def _tokens(batches, least: int):
         for text in batch.column(0).to_pylist():
             for line in text.split("\n"):
                 if len(line) >= 2 * least - 1 and len(t := template(line)) >= least and (h := _hash(t)) not in out:
-                    if len(known) > 300_000:
+                    if len(known) > 120_000:
                         known.clear()
                         known[_WILD] = 0
                     for x in t:

@@ -43,7 +43,7 @@ _STRIP = "\"'“”‘’«»()[]{}<>,.!?;:…*#$%&|~_-¡¿"
 class Lexicon:
     """token -> class characters: A-E insult by weight, t threat, y target, n negation, r report, w other, '.' clause end."""
 
-    def __init__(self, arcs: dict[str, float], most: int = 300_000):
+    def __init__(self, arcs: dict[str, float], most: int = 120_000):
         self.arcs, self.most, self.known = arcs, most, {}
         self.closed = {**dict.fromkeys(TARGET, "y"), **dict.fromkeys(NEGATION, "n"), **dict.fromkeys(REPORT, "r"), **dict.fromkeys(THREAT, "t")}
 
@@ -163,7 +163,7 @@ _LONG = re.compile(f"w{{{NEAR + 2},}}")
 class Machine:
     """The composed grammar: clause -> (weight, marked cores); clauses alike are walked once."""
 
-    def __init__(self, factors: dict[str, float], most: int = 100_000):
+    def __init__(self, factors: dict[str, float], most: int = 20_000):
         self.fst, self.most, self.known = _CONTEXT @ weigher(factors), most, {}
 
     def clause(self, classes: str) -> tuple[float, tuple[str, ...]]:
