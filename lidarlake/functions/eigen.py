@@ -4,8 +4,6 @@ All in expressions, so planes of any number of voxels are fitted inside the JVM.
 
 from __future__ import annotations
 
-_A = {"xx": "sxx", "xy": "sxy", "xz": "sxz", "yy": "syy", "yz": "syz", "zz": "szz"}
-
 #: sxx .. szz -> l0 <= l1 <= l2.
 VALUES = [
     ("q", "(sxx + syy + szz) / 3"),
@@ -16,7 +14,7 @@ VALUES = [
     ("l0", "q + 2 * p * cos(phi + 2 * pi() / 3)"),
     ("l1", "3 * q - l0 - l2"),
 ]
-#: l0 -> its unit vector nx, ny, nz with nz >= 0 (0, 0, 1 where it has no direction of its own).
+#: l0 -> its unit vector nx, ny, nz with nz >= 0 (0, 0, 1, which says nothing, where l1 is no larger than l0).
 VECTOR = [
     ("abx", "sxy * syz - sxz * (syy - l0)"), ("aby", "sxz * sxy - (sxx - l0) * syz"), ("abz", "(sxx - l0) * (syy - l0) - sxy * sxy"),
     ("acx", "sxy * (szz - l0) - sxz * syz"), ("acy", "sxz * sxz - (sxx - l0) * (szz - l0)"), ("acz", "(sxx - l0) * syz - sxy * sxz"),

@@ -21,18 +21,20 @@ _C = F.col
 
 #: Edge of a map voxel; a plane needs LEAST points and a least eigenvalue under FLAT; acceptance in deviations.
 EDGE, LEAST, FLAT, SIGMA = 4.0, 4, 6.0, 3.0
+#: The two lower eigenvalues of a plane must be so far apart; else (points on a line, or one point) it has no normal.
+APART = 1e-9
 #: Plane quality: 1 - l0 / l1 / 0.25, at least 0.15 (fixed values).
 _PLANE = [*VALUES, *VECTOR, ("d", "-(nx * cx + ny * cy + nz * cz)"), ("radius", "sqrt(greatest(l2, 0.0))"), ("quality", "greatest(1 - least(l0 / greatest(l1, 1e-12) / 0.25, 1.0), 0.15)")]
 _AXES = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 _PLANES_SQL = f"""v AS (SELECT *, CAST(floor(x / {EDGE}) AS BIGINT) AS vx, CAST(floor(y / {EDGE}) AS BIGINT) AS vy, CAST(floor(z / {EDGE}) AS BIGINT) AS vz FROM points),
   m AS (SELECT vx, vy, vz, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, {", ".join(f"avg({a} * {b}) - avg({a}) * avg({b}) AS s{a}{b}" for a, b in _AXES)} FROM v GROUP BY vx, vy, vz),
-  planes AS (SELECT vx, vy, vz, n, cx, cy, cz, l0, l1, l2, nx, ny, nz, d, radius, quality, n >= {LEAST} AND l0 < {FLAT} AS is_plane FROM {steps_sql("m", _PLANE)})"""
+  planes AS (SELECT vx, vy, vz, n, cx, cy, cz, l0, l1, l2, nx, ny, nz, d, radius, quality, n >= {LEAST} AND l0 < {FLAT} AND l1 - l0 > {APART} AS is_plane FROM {steps_sql("m", _PLANE)})"""
 
 
 def planes(cloud: DataFrame) -> DataFrame:
     """A row for each voxel with points: its moments' plane in closed form, and whether it is flat enough."""
     out = run_steps(moments(with_voxel(cloud, EDGE), ["vx", "vy", "vz"]), _PLANE)
-    return out.select("vx", "vy", "vz", "n", "cx", "cy", "cz", "l0", "l1", "l2", "nx", "ny", "nz", "d", "radius", "quality", ((_C("n") >= LEAST) & (_C("l0") < FLAT)).alias("is_plane"))
+    return out.select("vx", "vy", "vz", "n", "cx", "cy", "cz", "l0", "l1", "l2", "nx", "ny", "nz", "d", "radius", "quality", ((_C("n") >= LEAST) & (_C("l0") < FLAT) & (_C("l1") - _C("l0") > APART)).alias("is_plane"))
 
 
 @query(f"""WITH {POINTS}, {_PLANES_SQL} SELECT vx, vy, vz, n, round(l0, 5) + 0.0 AS l0, round(l1, 5) AS l1, round(l2, 5) AS l2, round(quality, 5) AS quality, is_plane FROM planes WHERE n >= 3""")
