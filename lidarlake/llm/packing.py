@@ -32,7 +32,7 @@ GROUPS = 96
 SMALL = 3
 #: With at most so many shards (of at most ``capacity`` lengths, 16 bytes each) their first ranks are broadcast.
 BROADCAST_SHARDS = 2000
-PIECES = "doc_id long, piece int, start long, length int, ids array<int>, shard int, place long"
+PIECES = "doc_id long, piece int, start long, length int, ids binary, shard int, place long"
 
 
 # ---- the plan, on the driver -------------------------------------------------------------------------
@@ -246,22 +246,25 @@ def _pieces(batches, tokenizer: str, end: int, capacity: int):
                 seen[b - a] += 1
             raw.append(x)
         cols = list(zip(*rows)) if rows else [()] * 6
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(cols[3], np.int64))]).astype(np.int32))
-        ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        # between the two steps ids are bytes, two each where the vocabulary allows: lists would be copied id by id
+        values = np.frombuffer(b"".join(raw), "<u4").astype("<u2" if encoder.narrow and end < 1 << 16 else "<u4")
+        offsets = pa.array((np.concatenate([[0], np.cumsum(np.array(cols[3], np.int64))]) * values.itemsize).astype(np.int32))
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(values)])
         yield pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), ids, pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())],
             names=["doc_id", "piece", "start", "length", "ids", "shard", "place"])
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024) -> DataFrame:
-    """Per piece of ``docs(doc_id, text)``: doc_id, piece, start, length, ids, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, digests: bool = False) -> DataFrame:
+    """Per piece of ``docs(doc_id, text)``: doc_id, piece, start, length, ids, sequence_id, offset; with ``digests``
+    ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in place of ids.
 
     The pieces of a sequence fill it without gaps from 0. Only documents over ``capacity`` tokens are cut;
     their first piece takes the remainder. Null or empty text: the end id alone. Rows with the same doc_id
     are packed one by one. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stored(docs.mapInArrow(partial(_pieces, tokenizer=tokenizer, end=end, capacity=capacity), PIECES), "pieces", compression="zstd")
+    pieces = stored(docs.mapInArrow(partial(_pieces, tokenizer=tokenizer, end=end, capacity=capacity), PIECES), "pieces", compression="zstd", **{"parquet.block.size": str(32 << 20)})
     counts = stored(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     full = histogram.pop(capacity, 0)
@@ -275,22 +278,32 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024) ->
         starts = F.broadcast(starts)
     ranked = pieces.join(starts, "shard").withColumn("rank", F.col("place") + F.col("before")[F.col("length")])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids", "rank")
-    return ranked.mapInArrow(partial(_locate, where=where), PACKED)
+    return ranked.mapInArrow(partial(_locate, where=where, digests=digests), DIGESTS if digests else PACKED)
 
 
 PACKED = "doc_id long, piece int, start long, length int, ids array<int>, sequence_id long, offset int"
+DIGESTS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _locate(batches, where: dict[int, np.ndarray]):
+def _locate(batches, where: dict[int, np.ndarray], digests: bool):
     for batch in batches:
         length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
-        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int32)
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         for s in np.unique(length):
             rows, at = where[int(s)], np.flatnonzero(length == s)
             k = np.searchsorted(rows[:, 0], rank[at], side="right") - 1
             sequence[at] = rows[k, 1] + rank[at] - rows[k, 0]
             offset[at] = rows[k, 2]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+        cuts, raw = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]), b"".join(batch.column(4).to_pylist())
+        ids = np.frombuffer(raw, f"<u{len(raw) // max(1, int(cuts[-1])) or 4}").astype("<u4")
+        if digests:
+            view = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
+            crc = pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())], pa.int64())
+            cols = [pa.array(length.astype(np.int64)), crc, pa.array(sequence), pa.array(offset)]
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.view("<i4")))
+            cols = [batch.column(3), lists, pa.array(sequence), pa.array(offset.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["doc_id", "piece", "start", "length", "ids_crc32" if digests else "ids", "sequence_id", "offset"])
 
 
 def _digest(batches):

@@ -83,8 +83,7 @@ SELECT page_id, s.host, s.path, rule, coalesce(verdict, 'allow') AS verdict FROM
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2, capacity=1024)
-    return packing.piece_digests(packed)
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2, capacity=1024, digests=True)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
