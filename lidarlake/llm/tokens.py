@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import json
 import os
 import re
 from array import array
@@ -16,6 +15,8 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: White space beside a space: only then a space may not open a token.
 _BESIDE = (re.compile(r" \s").search, re.compile(r"\s ").search)
+#: White space of Latin-1 but for the space and the line feed, and the pairs of those two that hold a space.
+_ODD_SPACES, _TWO_SPACES = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0", ("  ", " \n", "\n ")
 _AT_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: A space at most, Latin-1 letters (no composition or unusual case can touch them), ASCII punctuation at most.
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -34,8 +35,8 @@ _SEEN = 1 << 22
 class Encoder(dict):
     """text -> ids as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode`` without special tokens.
 
-    A text is cut before each single space that stands between two other characters. No token of the
-    tokenizers used here crosses such a place (``word_bpe``: white space is dropped; ``byte_bpe``: a space
+    A text is cut before each single space that stands between two other characters, and at single line ends. No token of the
+    tokenizers used here crosses such a place (``word_bpe``: white space is dropped, so it is cut at all spaces; ``byte_bpe``: a space
     opens the next token), so ids of the pieces can be kept and joined: the encoder is the dictionary of the pieces that
     it knows, in two bytes an id where the vocabulary allows. A new piece that is a plain word goes
     straight to the tokenizer's model; any other takes the tokenizer's whole way. A piece is kept when it is met again. At
@@ -43,16 +44,16 @@ class Encoder(dict):
     ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 180_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        parts = json.loads(self.tokenizer.to_str())
-        kinds = json.dumps([parts["normalizer"], parts["pre_tokenizer"]])
-        self.plain = parts["model"]["type"] == "BPE" and "ByteLevel" in kinds
+        kinds = b"".join(part.__getstate__() for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer) if part).decode()
+        self.plain = type(self.model).__name__ == "BPE" and "ByteLevel" in kinds
         self.lower = "Lowercase" in kinds  # such a tokenizer also drops white space
-        self.kind, self.type = ("u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("u4", "I")
+        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind, self.type = ("u2", "H") if self.narrow else ("u4", "I")
         self.most, self.old, self.seen = most, {}, bytearray(_SEEN)
 
     def _part(self, space: str, part: str) -> bytes:
@@ -90,12 +91,19 @@ class Encoder(dict):
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(beside(text) for beside in _BESIDE):
+        try:
+            raw = text.encode("latin-1")
+            flat = len(raw) == len(raw.translate(None, _ODD_SPACES))
+        except UnicodeEncodeError:
+            flat = False
+        if self.lower:  # white space is in no token; Latin-1 has no marks to compose, and one way to lower a letter
+            pieces = (text.lower() if flat else text).replace("\n", " ").split(" ")
+        elif "\0" in text or (any(x in text for x in _TWO_SPACES) if flat else any(beside(text) for beside in _BESIDE)):
             pieces = _AT_SPACE.split(text)
-        elif self.lower:
-            pieces = text.split(" ")  # a space opens no token
+        elif flat and "\n\n" not in text:  # each line's end is between two words, and a token of its own
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         else:
-            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _AT_SPACE.split(text)
+            pieces = text.replace(" ", "\0 ").split("\0")
         raw = b"".join(map(self.__getitem__, pieces))
         return np.frombuffer(raw, self.kind).astype("<u4").tobytes()
 
