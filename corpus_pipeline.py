@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of 1024 tokens."""
-    return packing.piece_digests(packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end=2, capacity=1024))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end=2, capacity=1024, digests=True)
 
 
 STAGES = [
