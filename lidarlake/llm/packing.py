@@ -304,17 +304,3 @@ def _locate(batches, where: dict[int, np.ndarray], digests: bool):
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.view("<i4")))
             cols = [batch.column(3), lists, pa.array(sequence), pa.array(offset.astype(np.int32))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["doc_id", "piece", "start", "length", "ids_crc32" if digests else "ids", "sequence_id", "offset"])
-
-
-def _digest(batches):
-    for batch in batches:
-        ids = batch.column(4)
-        cuts, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        raw = memoryview(values).cast("B")
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(cuts).astype(np.int64)), pa.array(crc, pa.int64()), *batch.columns[5:]], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-
-def piece_digests(packed: DataFrame) -> DataFrame:
-    """``packed`` with ids_crc32 (of the ids as little-endian unsigned 32-bit integers) for ids."""
-    return packed.mapInArrow(_digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset int").withColumn("offset", F.col("offset").cast("long"))
