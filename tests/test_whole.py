@@ -50,3 +50,17 @@ def test_every_point_has_its_ray(spark):
 def test_key_sets_of_whole_tables(spark):
     got, want = whole(spark, "keyset_diff", " WHERE c_custkey < 30", " WHERE s_suppkey < 15")
     assert got == want and got
+
+
+def test_null_keys_are_in_neither_set(spark, tmp_path):
+    """NOT IN: with a null among the others nothing is left; a null key is left only where there are no others."""
+    write = lambda name, schema, keys: spark.createDataFrame([(k, x) for k, x in enumerate(keys, 1)], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for k, (c, s) in enumerate([((1, 2, None, 2), (2, 3)), ((1, 2), (2, None, 3)), ((1, None), ()), ((), (4, None))]):
+        write(f"{k}/customer", "c_custkey long, c_nationkey int", c)
+        write(f"{k}/supplier", "s_suppkey long, s_nationkey int", s)
+        got = rows(registry.queries()["keyset_diff"](spark, f"{tmp_path}/{k}").collect(), ["key", "side"])
+        con = duckdb.connect()
+        for t in ("customer", "supplier"):
+            con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{k}/{t}.parquet/*.parquet')")
+        sql = registry.oracle_sql()["keyset_diff"].replace(" WHERE c_custkey < 30", "").replace(" WHERE s_suppkey < 15", "")
+        assert got == rows([dict(zip(("key", "side"), r)) for r in con.sql(sql).fetchall()], ["key", "side"])
