@@ -64,3 +64,31 @@ def test_null_keys_are_in_neither_set(spark, tmp_path):
             con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{k}/{t}.parquet/*.parquet')")
         sql = registry.oracle_sql()["keyset_diff"].replace(" WHERE c_custkey < 30", "").replace(" WHERE s_suppkey < 15", "")
         assert got == rows([dict(zip(("key", "side"), r)) for r in con.sql(sql).fetchall()], ["key", "side"])
+
+
+def odd_patches(spark, tmp_path):
+    """A folder with patches that are null, empty, short, long, without values or not a number, and some twice."""
+    nan = float("nan")
+    odd = {1: None, 2: [], 3: [0.5] * 10, 4: [None] * 64, 5: [None, 0.25] * 32, 6: [0.25, None] * 32, 7: [nan] + [0.5] * 63, 8: [0.125 * (k % 5) for k in range(70)], 9: [None] * 60 + [0.5, 1.0, 0.25, 0.0]}
+    plain = [[((7 * v + 3 * k) % 17) / 16 for k in range(64)] for v in range(30)]
+    patches = [(v, odd.get(v, plain[v]) if label else plain[v], label) for label in (None, 0, 1) for v in range(30)]
+    patches += [(5, plain[3], 1), (6, plain[6], 1), (40, None, 2), (41, [0.5] * 64, 2), (50, [0.5] * 64, 3), (None, [0.5] * 64, 1)]
+    spark.createDataFrame(patches, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return tmp_path
+
+
+def odd(spark, folder, name):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    want = con.sql(registry.oracle_sql()[name].replace(" WHERE k <= 8", ""))
+    columns = sorted(want.columns)
+    return rows(registry.queries()[name](spark, str(folder)).collect(), columns), rows([dict(zip(want.columns, r)) for r in want.fetchall()], columns)
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_pairs_of_odd_patches(spark, monkeypatch, tmp_path, block):
+    from lidarlake.plans import mapping
+
+    monkeypatch.setattr(mapping, "PATCH_BLOCK", block)
+    got, want = odd(spark, odd_patches(spark, tmp_path), "patch_ncc_pairs")
+    assert got == want and any(r[0] == "None" for r in got)
