@@ -92,3 +92,16 @@ def test_pairs_of_odd_patches(spark, monkeypatch, tmp_path, block):
     monkeypatch.setattr(mapping, "PATCH_BLOCK", block)
     got, want = odd(spark, odd_patches(spark, tmp_path), "patch_ncc_pairs")
     assert got == want and any(r[0] == "None" for r in got)
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_best_reference_of_odd_patches(spark, monkeypatch, tmp_path, block):
+    from lidarlake.plans import mapping
+
+    monkeypatch.setattr(mapping, "PATCH_BLOCK", block)
+    got, want = odd(spark, odd_patches(spark, tmp_path), "patch_ssd_best_ref")
+    assert got == want and len(got) == 3
+    folder = tmp_path / "finite"  # without the patch that is not a number, which decides point 0 and 1
+    spark.read.parquet(f"{tmp_path}/embeddings.parquet").where("vec_id <> 7 or vec_id is null").write.parquet(f"{folder}/embeddings.parquet")
+    got, want = odd(spark, folder, "patch_ssd_best_ref")
+    assert got == want and len(got) == 3
