@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable
 from functools import partial
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,12 @@ HEAVY = 200_000
 LONGEST = 16
 #: Exponent of the distribution by rank that the first expectations start from.
 ZIPF = 0.5
-#: Marks of words met once, by hash.
-_SEEN = 1 << 22
+#: Words of a block of lattices, and their most characters; longer ones go one by one.
+BLOCK, SHORT = 2048, 64
+#: A sum below this goes one by one, with scales: above it what gets too small for a number is no part of it.
+LEAST = 1e-200
+#: Fills a short word's places in a block: opens no piece.
+_PAD = "\U0010ffff"
 #: A document's end is a token; no word can be spelled like this.
 END = b"\n"
 
@@ -49,9 +55,10 @@ class Lattice:
 
     def __init__(self, probs: dict[str, float], byte: float, most: int = 200_000):
         self.probs, self.byte, self.most = probs, byte, most
-        self.known, self.seen = {}, bytearray(_SEEN)
+        self.known: dict[bytes, float] = {}
         #: piece or beginning of one -> probability (0: only a beginning); a walk ends where this ends
         self.starts = {p[:k]: 0.0 for p in probs for k in range(1, len(p))} | probs
+        self.trie = None
 
     def __reduce__(self):
         return Lattice, (self.probs, self.byte, self.most)
@@ -92,20 +99,62 @@ class Lattice:
         return math.log(f[n]) + scale
 
     def log10(self, word: bytes) -> float:
-        if word == END:
-            return math.log10(self.probs.get(self.MARK + "\n", self.byte))
-        got = self.known.get(word)
-        if got is None:
-            got = self._log(self.MARK + word.decode("utf-8", "surrogatepass")) / math.log(10)
-            k = hash(word) & (_SEEN - 1)
-            if self.seen[k]:  # met before: most words are never met again, and those are not worth a place
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                    self.seen = bytearray(_SEEN)
-                self.known[word] = got
-            else:
-                self.seen[k] = 1
-        return got
+        return self.log10s([word])[word]
+
+    def log10s(self, words: Iterable[bytes]) -> dict[bytes, float]:
+        """At least these words with their log10 probability; what is met again is not computed again."""
+        if len(self.known) >= self.most:
+            self.known.clear()
+        new = list(set(words).difference(self.known))
+        whole = np.ones(len(new))
+        for at, b in self._blocks(new):
+            whole[at] = b.whole
+        logs = np.log10(np.maximum(whole, LEAST))
+        for k in np.flatnonzero(whole < LEAST).tolist():
+            logs[k] = self._log(self.MARK + new[k].decode("utf-8", "surrogatepass")) / math.log(10)
+        self.known.update(zip(new, logs.tolist()))
+        self.known[END] = math.log10(self.probs.get(self.MARK + "\n", self.byte))
+        return self.known
+
+    def _states(self):
+        """The beginnings of pieces as a trie: sorted keys (state, next character), their states, and each state's probability."""
+        if self.trie is None:
+            number = {p: k for k, p in enumerate(self.starts, 1)}
+            keys = np.array([number.get(p[:-1], 0) << 21 | ord(p[-1]) for p in number], np.int64)
+            order = np.argsort(keys)
+            self.trie = keys[order], order + 1, np.array([0.0, *self.starts.values()])
+        return self.trie
+
+    def _blocks(self, words: list[bytes]):
+        """(places among ``words``, block) of all words, those of like length together; long words are left out with a sum of 0."""
+        texts = [self.MARK + w.decode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], SHORT, "right"))
+        for k in range(0, short, BLOCK):
+            at = order[k : min(k + BLOCK, short)]
+            yield at, _Block(self, [texts[x] for x in at.tolist()], sizes[at])
+        if short < len(order):
+            yield order[short:], _Long
+
+    def expects(self, words: list[bytes], counts: np.ndarray, into: np.ndarray) -> None:
+        """``expect`` of many words; ``into`` has a place for each state."""
+        for at, b in self._blocks(words):
+            whole, rest = np.broadcast_to(b.whole, len(at)), {}
+            for k in at[whole < LEAST].tolist():
+                self.expect(words[k], counts[k], rest)
+            for piece, n in rest.items():
+                into[self.number(piece)] += n
+            if b is not _Long:
+                b.expect(np.where(whole < LEAST, 0.0, counts[at]), into)
+
+    def number(self, piece: str) -> int:
+        """The state of a piece."""
+        keys, states, _ = self._states()
+        s = 0
+        for c in piece:
+            s = int(states[np.searchsorted(keys, s << 21 | ord(c))])
+        return s
 
     def expect(self, word: bytes, count: float, into: dict[str, float]) -> None:
         """Add ``count`` times the expected number of each piece over all segmentations of a word.
@@ -150,13 +199,70 @@ class Lattice:
             b[j] = back
 
 
+class _Long:
+    whole = 0.0
+
+
+class _Block:
+    """Lattices of words side by side: row j of an array has what belongs to the j-th character of each."""
+
+    def __init__(self, lattice: Lattice, texts: list[str], sizes: np.ndarray):
+        keys, states, probs = lattice._states()
+        n, width = int(sizes.max()), len(texts)
+        c = "".join([x.ljust(n, _PAD) for x in texts]).encode("utf-32-le", "surrogatepass")
+        c = np.frombuffer(c, np.uint32).astype(np.int64).reshape(width, n).T.ravel()
+        spelled = np.array([lattice._spelled(x) for x in "a\x80\u0800\U00010000"])
+        self.spelled = spelled[(c >= 0x80).astype(np.int8) + (c >= 0x800) + (c >= 0x10000)].reshape(n, width)
+        self.n, self.width, self.sizes, self.arcs = n, width, sizes, []
+        at, s = np.arange(n * width), np.zeros(n * width, np.int64)
+        rows: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
+        for k in range(1, min(LONGEST, n) + 1):  # all beginnings of k characters, wherever they stand
+            key = s << 21 | c[at + (k - 1) * width]
+            x = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[x] == key if len(keys) else np.zeros(len(key), bool)
+            at, s = at[hit], states[x[hit]]
+            p = probs[s]
+            some = p > 0
+            if some.any():
+                arc = np.zeros(n * width)
+                arc[at[some]] = p[some]
+                arc = arc.reshape(n, width)
+                for j in np.unique(at[some] // width).tolist():
+                    rows[j].append((k, arc[j]))
+                self.arcs.append((k, at[some], s[some], p[some]))
+            keep = at + k * width < n * width
+            at, s = at[keep], s[keep]
+            if not len(at):
+                break
+        self.rows = rows
+        self.f = np.zeros((n + 1, width))
+        self.f[0] = 1.0
+        for j in range(n):
+            x = self.f[j]
+            self.f[j + 1] += x * self.spelled[j]
+            for k, p in rows[j]:
+                self.f[j + k] += x * p
+        self.whole = self.f[sizes, np.arange(width)]
+
+    def expect(self, counts: np.ndarray, into: np.ndarray) -> None:
+        b = np.zeros((self.n + 1, self.width))
+        b[self.sizes, np.arange(self.width)] = 1.0
+        for j in range(self.n - 1, -1, -1):
+            b[j] += b[j + 1] * self.spelled[j]
+            for k, p in self.rows[j]:
+                b[j] += b[j + k] * p
+        share, b = (self.f * (counts / np.maximum(self.whole, LEAST))).ravel(), b.ravel()
+        for k, at, s, p in self.arcs:
+            into += np.bincount(s, share[at] * p * b[at + k * self.width], len(into))
+
+
 def _expected(batches, start: Lattice):
-    got: dict[str, float] = {}
+    got = np.zeros(len(start.starts) + 1)
     for batch in batches:
-        for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if word != END:
-                start.expect(word, c, got)
-    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.float64())], names=["piece", "n"])
+        rows = [(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w != END]
+        start.expects([w for w, _ in rows], np.array([c for _, c in rows], np.float64), got)
+    pieces = [(p, n) for p, n in zip(start.starts, got[1:].tolist()) if n]
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.string()), pa.array([n for _, n in pieces], pa.float64())], names=["piece", "n"])
 
 
 def reestimate(start: Lattice, counts: DataFrame, documents: int) -> Lattice:
@@ -194,41 +300,36 @@ def _score(batches, heavy, lattice: Lattice, log_unit: float):
     heavy = {w: (math.log10(c + 0.5) - log_unit) for w, c in heavy.value.items()}
     row = TaskContext.get().partitionId() << 33
     for batch in small(batches):
-        key, doc, out, word, n, known, base, score, tokens = ([] for _ in range(9))
-        for d, held, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            c = Counter(words(text))
+        counts = [Counter(words(text)) for text in batch.column(2).to_pylist()]
+        logs = lattice.log10s(set().union(*counts)).__getitem__
+        word, n, size, tokens, known, base, score = ([] for _ in range(7))
+        for c in counts:
             c[END] += 1
-            row += 1
-            s = b = 0.0
-            k = m = 0
+            before, b, k = len(word), 0.0, 0
             for w, x in c.items():
-                s += x * lattice.log10(w)
-                m += x
                 h = heavy.get(w)
-                if h is not None:
-                    b += x * h
-                    k += x
-                else:
-                    key.append(row)
+                if h is None:
                     word.append(w)
                     n.append(x)
-                    doc.append(None)
-                    out.append(None)
-                    known.append(0)
-                    base.append(0.0)
-                    score.append(None)
-                    tokens.append(None)
-            key.append(row)
-            word.append(END + row.to_bytes(8, "big"))  # meets no word, and spreads
-            n.append(0)
-            doc.append(d)
-            out.append(held)
+                else:
+                    b += x * h
+                    k += x
+            size.append(len(word) - before)
+            tokens.append(sum(c.values()))
             known.append(k)
             base.append(b)
-            score.append(s)
-            tokens.append(m)
+            score.append(sum(map(mul, map(logs, c), c.values())))
+        key, others, docs = np.arange(row + 1, row + 1 + len(counts)), len(word), len(counts)
+        row += docs
+        both = lambda a, b, kind: pa.concat_arrays([a, pa.array(b, kind)])
+        none, zero = partial(pa.nulls, others), np.zeros(others, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(out, pa.bool_()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(tokens, pa.int64())],
+            [
+                pa.array(np.concatenate([np.repeat(key, size), key])), both(none(pa.int64()), batch.column(0).to_pylist(), pa.int64()), both(none(pa.bool_()), batch.column(1).to_pylist(), pa.bool_()),
+                pa.array(word + [END + k.to_bytes(8, "big") for k in key.tolist()], pa.binary()),  # those of documents meet no word, and spread
+                pa.array(n + [0] * docs, pa.int64()), both(pa.array(zero), known, pa.int64()), both(pa.array(zero.astype(np.float64)), base, pa.float64()),
+                both(none(pa.float64()), score, pa.float64()), both(none(pa.int64()), tokens, pa.int64()),
+            ],
             names=["key", "doc_id", "held_out", "word", "n", "known", "base", "score", "tokens"])
 
 
