@@ -47,6 +47,27 @@ def test_every_point_has_its_ray(spark):
     assert got == want and any(int(r[0]) % 5 for r in got)
 
 
+def rays(spark, folder, embeddings):
+    """The query's rows on ``embeddings``, those of the SQL without its cap, and those of the SQL as it is."""
+    spark.createDataFrame([(k, e, 0) for k, e in embeddings], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    sql = registry.oracle_sql()["raycast_first_hit"]
+    take = lambda s: rows([dict(zip(("idx", "step"), r)) for r in con.sql(s).fetchall()], ["idx", "step"])
+    return rows(registry.queries()["raycast_first_hit"](spark, str(folder)).collect(), ["idx", "step"]), take(sql.replace(" WHERE idx % 5 = 0", "")), take(sql)
+
+
+#: A point in the middle of every other voxel around the origin, young and even: occupied.
+CHEQUERS = [(1000 + 2 * k, [(2 * v + 1) / 20 for v in (k // 36 - 3, k // 6 % 6 - 3, k % 6 - 3)] + [1.0, 0.0]) for k in range(216) if (k // 36 + k // 6 + k) % 2]
+
+
+def test_samples_on_the_faces_of_voxels(spark, tmp_path):
+    """Rays of directions 0.6, 0.8 and the like, far outside."""
+    ways = [(a * x, b * y, c * z) for x, y, z in ((3, 4, 0), (4, 0, 3), (0, 4, 3), (12, 9, 8), (8, 9, 12), (2, 1, 2)) for a in (1, -1) for b in (1, -1) for c in (1, -1)]
+    got, want, capped = rays(spark, tmp_path, [(k, [float(v) for v in w] + [1.0, 0.0]) for k, w in enumerate(ways)] + CHEQUERS)
+    assert got == want and [r for r in got if int(r[0]) % 5 == 0] == capped and capped
+
+
 def test_key_sets_of_whole_tables(spark):
     got, want = whole(spark, "keyset_diff", " WHERE c_custkey < 30", " WHERE s_suppkey < 15")
     assert got == want and got
