@@ -68,6 +68,13 @@ def test_samples_on_the_faces_of_voxels(spark, tmp_path):
     assert got == want and [r for r in got if int(r[0]) % 5 == 0] == capped and capped
 
 
+def test_rays_of_short_embeddings(spark, tmp_path):
+    """A place beyond the end is null: without x, y and z there is no ray, without a time no evidence."""
+    short = [[], [0.1], [0.1] * 2, [0.1] * 3, [0.1] * 4, [0.1] * 5, [None] * 5, None, [0.1, None, 0.1, 1.0, 0.0]]
+    got, want, capped = rays(spark, tmp_path, list(enumerate(short)) + [(k + 50, e) for k, e in enumerate(short)] + CHEQUERS)
+    assert got == want and [r for r in got if int(r[0]) % 5 == 0] == capped and {"3", "4", "5"} < {r[0] for r in got}
+
+
 def test_key_sets_of_whole_tables(spark):
     got, want = whole(spark, "keyset_diff", " WHERE c_custkey < 30", " WHERE s_suppkey < 15")
     assert got == want and got
