@@ -75,6 +75,18 @@ def test_rays_of_short_embeddings(spark, tmp_path):
     assert got == want and [r for r in got if int(r[0]) % 5 == 0] == capped and {"3", "4", "5"} < {r[0] for r in got}
 
 
+def test_points_that_are_nowhere(spark, tmp_path):
+    """The SQL stops at places that are not a number or infinite; the query gives what the SQL gives without such points."""
+    nan, inf = float("nan"), float("inf")
+    odd = [(10 * k + v, e + [1.0, 0.0]) for k, e in enumerate([[nan, 0.05, 0.05], [0.05, nan, -0.05], [nan] * 3, [inf, 0.05, 0.05], [-inf, inf, nan], [0.05, -inf, 0.05]]) for v in (0, 1)]
+    plain = [(101, [0.05] * 3 + [1.0, 0.0]), (105, [-0.05] * 3 + [1.0, 0.0]), (107, [0.05, None, 0.05, 1.0, 0.0])]
+    far = [(200, [0.25, 0.05, 0.05, 1.0, 0.0])]  # the one occupied voxel; none around the origin
+    for name, some in (("far", plain + far), ("near", plain + far + CHEQUERS)):
+        _, want, _ = rays(spark, tmp_path / name, some)
+        spark.createDataFrame([(k, e, 0) for k, e in some + odd], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{name}_odd/embeddings.parquet")
+        assert rows(registry.queries()["raycast_first_hit"](spark, f"{tmp_path}/{name}_odd").collect(), ["idx", "step"]) == want and want
+
+
 def test_key_sets_of_whole_tables(spark):
     got, want = whole(spark, "keyset_diff", " WHERE c_custkey < 30", " WHERE s_suppkey < 15")
     assert got == want and got
